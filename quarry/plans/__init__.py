@@ -1,7 +1,7 @@
 """Batch plans and the registered driver queries."""
 import importlib
 
-_MODULES = ["q_retrieval"]
+_MODULES = ["q_retrieval", "q_text"]
 
 
 def load_all():
