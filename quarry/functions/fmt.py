@@ -1,21 +1,40 @@
-"""Time formatting."""
+"""Time formatting.
+
+Python's ``format(x, '.1f')`` rounds the exact binary value half-to-even;
+Java's ``String.format`` (and so Spark's ``format_string``) rounds the
+shortest decimal form half-up, which differs on values such as 6.55 or
+12.25.  The reference is Python, so these two presentation helpers are small
+vectorised Pandas UDFs (Arrow batches, no per-row JVM round trip).
+"""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@F.pandas_udf(T.StringType())
+def _fmt_ms(v: pd.Series) -> pd.Series:
+    x = v.to_numpy(dtype=np.float64, na_value=np.nan)
+    return pd.Series([None if np.isnan(m) else (f"{m * 1000:.0f}μs" if m < 1 else f"{m:.1f}ms") for m in x])
+
+
+@F.pandas_udf(T.StringType())
+def _fmt_s(v: pd.Series) -> pd.Series:
+    x = v.to_numpy(dtype=np.float64, na_value=np.nan)
+    return pd.Series([None if np.isnan(s) else (f"{s * 1000:.2f} ms" if s < 1 else f"{s:.2f} sec") for s in x])
+
+
 def format_ms(ms) -> Column:
     """Milliseconds: below 1 ms as whole microseconds ('{:.0f}μs'), else
     '{:.1f}ms'."""
-    ms = _c(ms).cast("double")
-    return F.when(ms < 1, F.format_string("%.0fμs", ms * 1000)).otherwise(F.format_string("%.1fms", ms))
+    return _fmt_ms(_c(ms).cast("double"))
 
 
 def format_seconds(s) -> Column:
     """Seconds: below 1 s as '{:.2f} ms', else '{:.2f} sec'."""
-    s = _c(s).cast("double")
-    return F.when(s < 1, F.format_string("%.2f ms", s * 1000)).otherwise(F.format_string("%.2f sec", s))
+    return _fmt_s(_c(s).cast("double"))

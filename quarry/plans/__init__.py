@@ -1,7 +1,7 @@
 """Batch plans and the registered driver queries."""
 import importlib
 
-_MODULES = ["q_retrieval", "q_text"]
+_MODULES = ["q_retrieval", "q_text", "q_ops"]
 
 
 def load_all():
