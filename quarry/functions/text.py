@@ -20,8 +20,10 @@ def py_strip(c) -> Column:
 
 
 def tokens(c) -> Column:
-    """Lower-cased word tokens, empty strings removed."""
-    return F.filter(F.split(F.lower(_c(c)), TOKEN_SPLIT, -1), lambda t: t != "")
+    """Lower-cased word tokens, empty strings removed (``array_remove`` is
+    code-generated; a lambda filter is interpreted and costs more than the
+    split)."""
+    return F.array_remove(F.split(F.lower(_c(c)), TOKEN_SPLIT, -1), "")
 
 
 def word_slice(c, n: int) -> Column:

@@ -19,17 +19,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from quarry.functions.text import tokens
-from quarry.functions.vectors import l2_normalize, truncate_dims
+from quarry.functions.vectors import norm
+from quarry.session import spread
 
 DEFAULT_DIM = 64
 
 
 def normalize(df: DataFrame, vec: str, out: str | None = None) -> DataFrame:
-    return df.withColumn(out or vec, l2_normalize(vec))
+    """E3 with the norm computed once per row (a column), not once per
+    element inside the lambda."""
+    v = F.col(vec).cast("array<double>")
+    return (df.withColumn("_norm", norm(vec))
+              .withColumn(out or vec, F.when(F.col("_norm") == 0, v)
+                          .otherwise(F.transform(v, lambda x: x / F.col("_norm"))))
+              .drop("_norm"))
 
 
 def truncate(df: DataFrame, vec: str, dims: int, out: str | None = None) -> DataFrame:
-    return df.withColumn(out or vec, truncate_dims(vec, dims))
+    """First ``dims`` components, re-normalised."""
+    return normalize(df.withColumn("_trunc", F.slice(F.col(vec).cast("array<double>"), 1, dims)),
+                     "_trunc", out or vec).drop("_trunc")
 
 
 def truncate_words(text_col, max_words: int = 128):
@@ -53,13 +62,21 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_DIM
                out: str = "embedding") -> DataFrame:
     """Signed feature hashing embedder; returns (id, n_tokens, embedding).
 
-    Texts without tokens get no row (nothing to embed)."""
-    tb = token_buckets(df, id_col, text_col, dim)
-    sums = [F.sum(F.when(F.col("bucket") == b, F.col("sign")).otherwise(0)).cast("double").alias(f"_b{b}")
-            for b in range(dim)]
-    agg = tb.groupBy(id_col).agg(F.count("*").alias("n_tokens"), *sums)
-    vec = F.array(*[F.col(f"_b{b}") for b in range(dim)])
-    return agg.select(id_col, "n_tokens", l2_normalize(vec).alias(out))
+    Two aggregations, both code-generated: (id, bucket) sums - partially
+    aggregated before the shuffle, so at most ``dim`` rows per text and task
+    leave the map side - then one row per text: the norm as sqrt(sum(w^2))
+    and the dense vector as ``dim`` conditional sums over at most ``dim``
+    rows.  No higher-order functions.  Texts without tokens get no row."""
+    tb = token_buckets(spread(df.select(id_col, text_col)), id_col, text_col, dim)
+    per_bucket = tb.groupBy(id_col, "bucket").agg(F.sum("sign").cast("double").alias("w"),
+                                                  F.count("*").alias("n"))
+    per_text = per_bucket.groupBy(id_col).agg(
+        F.sum("n").alias("n_tokens"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
+        *[F.sum(F.when(F.col("bucket") == b, F.col("w"))).alias(f"_b{b}") for b in range(dim)])
+    nz = F.col("_norm") > 0
+    vec = F.array(*[F.when(nz, F.coalesce(F.col(f"_b{b}"), F.lit(0.0)) / F.col("_norm")).otherwise(F.lit(0.0))
+                    for b in range(dim)])
+    return per_text.select(id_col, "n_tokens", vec.alias(out))
 
 
 Embedder = Callable[[pd.Series], np.ndarray]

@@ -69,3 +69,23 @@ def path_exists(spark: SparkSession, p: str) -> bool:
     hpath = jvm.org.apache.hadoop.fs.Path(p)
     fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.exists(hpath)
+
+
+def spread(df, factor: int = 1):
+    """Round-robin a DataFrame over all task slots when its scan yields fewer
+    partitions than the cluster has cores (one big file with few row
+    groups).  On a cluster reading many files this is a no-op: the scan
+    already has far more splits than cores.  Used before CPU-heavy row-local
+    text work (tokenising, chunking, hashing)."""
+    slots = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
+def cut(df):
+    """Materialise once and cut lineage with a reliable checkpoint in the
+    shared checkpoint folder (never ``localCheckpoint``: executor-local
+    blocks die with their executor)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
