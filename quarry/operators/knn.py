@@ -155,16 +155,20 @@ def knn_join(questions: DataFrame, corpus: DataFrame, k: int = 3, *,
     pushes into the Parquet scan.
     """
     assert q_id != c_id, "question and corpus ids need distinct names"
-    on = list(on)
     spark = questions.sparkSession
+    # fresh names for the equality columns on both sides: both inputs may
+    # come from the same table (a self-join), keep their lineage apart
+    q_on = [F.col(k).alias(f"_on{i}") for i, k in enumerate(on)]
+    c_on = [F.col(k).alias(f"_on{i}") for i, k in enumerate(on)]
+    on = [f"_on{i}" for i in range(len(on))]
     if k_col is not None:
-        q = questions.select(q_id, q_vec, *on, F.coalesce(F.col(k_col).cast("int"), F.lit(k)).alias("_k"))
+        q = questions.select(q_id, q_vec, *q_on, F.coalesce(F.col(k_col).cast("int"), F.lit(k)).alias("_k"))
         kmax = q.agg(F.max("_k")).first()[0] or k
     else:
-        q = questions.select(q_id, q_vec, *on, F.lit(k).cast("int").alias("_k"))
+        q = questions.select(q_id, q_vec, *q_on, F.lit(k).cast("int").alias("_k"))
         kmax = k
     q = q.where(F.col(q_vec).isNotNull() & (F.col("_k") > 0))
-    c = corpus.select(c_id, c_vec, *on).where(F.col(c_vec).isNotNull())
+    c = corpus.select(c_id, c_vec, *c_on).where(F.col(c_vec).isNotNull())
     qtype = questions.schema[q_id].dataType
     ctype = corpus.schema[c_id].dataType
 

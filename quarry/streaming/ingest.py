@@ -14,7 +14,9 @@ from quarry.streaming.common import run_available_now
 
 def run_ingest(spark: SparkSession, folder: str, index_path: str, checkpoint: str, *,
                size: int = 256, overlap: int = 20, dim: int = DEFAULT_DIM, glob: str = "*.txt"):
-    files = (spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
+    files = (spark.readStream.format("binaryFile")
+             .schema("path string, modificationTime timestamp, length long, content binary")
+             .option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(folder))
     docs = files.select(F.col("path").alias("source"),
                         F.element_at(F.split("path", "/"), -1).alias("filename"),
