@@ -50,10 +50,10 @@ def main() -> None:
     extra = {}
     if not only or "flagship" in only:
         t = time.perf_counter()
-        chunks, vectors = ingest(spark, sf_dir)
+        chunks, vectors, stats = ingest(spark, sf_dir)
         times["flagship_ingest"] = round(time.perf_counter() - t, 3)
         t = time.perf_counter()
-        ask(spark, sf_dir, chunks, vectors).write.format("noop").mode("overwrite").save()
+        ask(spark, sf_dir, chunks, vectors, stats).write.format("noop").mode("overwrite").save()
         times["flagship_query"] = round(time.perf_counter() - t, 3)
         n_q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
         extra["flagship_chunks"] = vectors.count()
