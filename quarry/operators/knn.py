@@ -24,8 +24,9 @@ Three physical plans, chosen by measured size, never by hope:
   cells are an equi-join on ``(keys, qblock, vblock)``.
 
 Inside a task the distances use |q|^2 + |x|^2 - 2 q.x as a matrix product to
-pick ``k + surplus`` candidates, then the exact d2 = sum((q - x)^2) is
-recomputed for those, so near-ties are ordered exactly.
+pre-select every candidate within a rounding bound of the k-th value (exact
+ties all kept), then the exact d2 = sum((q - x)^2) orders them, so ties are
+broken by id exactly as the SQL oracle does.
 """
 from __future__ import annotations
 
@@ -37,7 +38,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 DEFAULT_BROADCAST_BYTES = 64 << 20
-SURPLUS = 8
 
 
 # --------------------------------------------------------------------------- #
@@ -54,32 +54,36 @@ def topk_block(qids: np.ndarray, Q: np.ndarray, ks: np.ndarray,
                cids: np.ndarray, X: np.ndarray, step: int = 512) -> pd.DataFrame:
     """Exact top-k of every question in ``Q`` over the rows of ``X``.
 
-    Returns a frame (qid, cid, d2) with at most ks[i] rows per question,
-    ordered by (d2, cid) inside each question.
+    Returns a frame (qid, cid, d2, _k) with at most ks[i] rows per question,
+    ordered by (d2, cid) inside each question.  The matrix-product distance
+    only pre-selects: every row within a rounding bound of the question's
+    k-th approximate distance is kept (all exact ties included, however
+    many), then the exact d2 decides with the id as tie-break.
     """
     nq, nc = len(Q), len(X)
     if nq == 0 or nc == 0:
         return pd.DataFrame({"qid": qids[:0], "cid": cids[:0], "d2": np.zeros(0),
                              "_k": np.zeros(0, dtype=np.int32)})
-    kmax = int(ks.max())
-    m = min(kmax + SURPLUS, nc)
+    kmax = int(min(int(ks.max()), nc))
     xn = np.einsum("ij,ij->i", X, X)
     out_q, out_c, out_d, out_k = [], [], [], []
     for s in range(0, nq, step):
         Qs = Q[s:s + step]
-        if m < nc:
-            approx = np.einsum("ij,ij->i", Qs, Qs)[:, None] + xn[None, :] - 2.0 * (Qs @ X.T)
-            idx = np.argpartition(approx, m - 1, axis=1)[:, :m]
-        else:
-            idx = np.broadcast_to(np.arange(nc), (len(Qs), nc))
-        diff = Qs[:, None, :] - X[idx]
-        d2 = np.einsum("ijk,ijk->ij", diff, diff)
-        cand = cids[idx]
+        qn = np.einsum("ij,ij->i", Qs, Qs)
+        approx = qn[:, None] + xn[None, :] - 2.0 * (Qs @ X.T)
+        kth = np.sort(np.partition(approx, kmax - 1, axis=1)[:, :kmax], axis=1)
+        # |approx - exact| is a few ulps of |q|^2 + |x|^2; twice a generous bound
+        eps = 1e-9 * (1.0 + qn + xn.max())
         for r in range(len(Qs)):
-            order = np.lexsort((cand[r], d2[r]))[: int(ks[s + r])]
+            kr = int(min(ks[s + r], nc))
+            cand = np.flatnonzero(approx[r] <= kth[r, kr - 1] + eps[r])
+            diff = Qs[r][None, :] - X[cand]
+            d2 = np.einsum("ij,ij->i", diff, diff)
+            cc = cids[cand]
+            order = np.lexsort((cc, d2))[:kr]
             out_q.append(np.repeat(qids[s + r], len(order)))
-            out_c.append(cand[r][order])
-            out_d.append(d2[r][order])
+            out_c.append(cc[order])
+            out_d.append(d2[order])
             out_k.append(np.repeat(np.int32(ks[s + r]), len(order)))
     return pd.DataFrame({"qid": np.concatenate(out_q), "cid": np.concatenate(out_c),
                          "d2": np.concatenate(out_d), "_k": np.concatenate(out_k)})
@@ -285,10 +289,14 @@ def _grid(q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype, q_block, c_block):
               .applyInPandas(cell, _pairs_schema(q_id, c_id, qtype, ctype)))
 
 
-def with_scores(hits: DataFrame) -> DataFrame:
+def with_scores(hits: DataFrame, min_score: float | None = None) -> DataFrame:
     """The compatibility score ``1 - d2`` (what an L2 index reports as
-    '1 - distance', i.e. 2 cos - 1 on unit vectors, Q3) and the cosine."""
-    return hits.withColumn("score", 1 - F.col("d2")).withColumn("cosine", 1 - F.col("d2") / 2)
+    '1 - distance', i.e. 2 cos - 1 on unit vectors, Q3) and the cosine.
+
+    J8 ``min_score``: keep hits with score >= min_score.  Scores fall with
+    rank, so the kept ranks stay 1..n without gaps."""
+    out = hits.withColumn("score", 1 - F.col("d2")).withColumn("cosine", 1 - F.col("d2") / 2)
+    return out if min_score is None else out.where(F.col("score") >= F.lit(float(min_score)))
 
 
 # --------------------------------------------------------------------------- #

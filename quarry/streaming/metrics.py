@@ -27,9 +27,11 @@ def session_counters(stream: DataFrame, user_col: str = "user_id", ts_col: str =
     return s.groupBy(F.session_window("_ts", gap), user_col).agg(F.count("*").alias("requests"))
 
 
-def run_windowed(spark: SparkSession, agg: DataFrame, key_cols: list[str]) -> DataFrame:
+def run_windowed(spark: SparkSession, agg: DataFrame, key_cols: list[str], mode: str = "update") -> DataFrame:
+    """``mode='append'`` for session windows: a session is emitted once the
+    watermark closes it."""
     sink, ckpt = batch_sink(spark, "metrics")
-    w = (agg.writeStream.outputMode("update").foreachBatch(idempotent_batch_writer(sink))
+    w = (agg.writeStream.outputMode(mode).foreachBatch(idempotent_batch_writer(sink))
          .option("checkpointLocation", ckpt))
     run_available_now(w)
     out = spark.read.parquet(sink)
