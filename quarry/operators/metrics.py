@@ -51,7 +51,8 @@ def histogram(log: DataFrame, value, edges: Sequence[float], where=None, by: Seq
     v = F.col(value) if isinstance(value, str) else value
     df = log if where is None else log.where(where)
     sums = [F.count_if(v <= F.lit(e)).alias(f"_c{i}") for i, e in enumerate(edges)]
-    agg = df.groupBy(*by).agg(*sums, F.count(v).alias("_inf"), F.sum(v).alias("sum"), F.count(v).alias("count"))
+    agg = df.groupBy(*by).agg(*sums, F.count(v).alias("_inf"), F.sum(v).cast("double").alias("sum"),
+                              F.count(v).alias("count"))
     pairs = ", ".join([f"'{_label(e)}', _c{i}" for i, e in enumerate(edges)] + ["'+Inf', _inf"])
     return agg.selectExpr(*by, f"stack({len(edges) + 1}, {pairs}) AS (le, cum_count)", "sum", "count")
 

@@ -163,9 +163,9 @@ def _hist_sql(value: str, edges, where: str) -> str:
 edges(le, e) AS (VALUES {", ".join(rows)}),
 obs AS (SELECT {value} AS v FROM ql WHERE {where})
 SELECT le, (SELECT count(*) FROM obs WHERE v <= e) AS cum_count,
-       round((SELECT sum(v) FROM obs), 6) AS sum, (SELECT count(v) FROM obs) AS count FROM edges
+       round((SELECT sum(v)::DOUBLE FROM obs), 6) AS sum, (SELECT count(v) FROM obs) AS count FROM edges
 UNION ALL
-SELECT '+Inf', count(v), round(sum(v), 6), count(v) FROM obs
+SELECT '+Inf', count(v), round(sum(v)::DOUBLE, 6), count(v) FROM obs
 """
 
 
@@ -239,7 +239,7 @@ SELECT event_type,
        round(avg(total_ms) FILTER (WHERE NOT coalesce(from_cache, false)), 6) AS avg_miss_ms,
        round(avg(coalesce(from_cache, false)::INTEGER::DOUBLE), 6) AS observed_hit_rate,
        round(0.7 * avg(total_ms) FILTER (WHERE coalesce(from_cache, false))
-             + (1 - 0.7) * avg(total_ms) FILTER (WHERE NOT coalesce(from_cache, false)), 6) AS expected_ms
+             + (1 - 0.7::DOUBLE) * avg(total_ms) FILTER (WHERE NOT coalesce(from_cache, false)), 6) AS expected_ms
 FROM ql WHERE NOT failed GROUP BY event_type
 """)
 def q_latency_blend(spark, sf_dir):
@@ -251,12 +251,12 @@ def q_latency_blend(spark, sf_dir):
 
 @register("cost_estimate", """
 WITH t AS (SELECT conv_id, role, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM conversations)
-SELECT conv_id, sum(n) FILTER (WHERE role <> 'assistant') AS input_tokens,
-       sum(n) FILTER (WHERE role = 'assistant') AS output_tokens,
+SELECT conv_id, (sum(n) FILTER (WHERE role <> 'assistant'))::BIGINT AS input_tokens,
+       (sum(n) FILTER (WHERE role = 'assistant'))::BIGINT AS output_tokens,
        round(coalesce(sum(n) FILTER (WHERE role <> 'assistant'), 0) / 1000 * 0.0002
              + coalesce(sum(n) FILTER (WHERE role = 'assistant'), 0) / 1000 * 0.0006, 9) AS cost,
        round((coalesce(sum(n) FILTER (WHERE role <> 'assistant'), 0) / 1000 * 0.0002
-             + coalesce(sum(n) FILTER (WHERE role = 'assistant'), 0) / 1000 * 0.0006) * (1 - 0.8), 9) AS cost_with_cache
+             + coalesce(sum(n) FILTER (WHERE role = 'assistant'), 0) / 1000 * 0.0006) * (1 - 0.8::DOUBLE), 9) AS cost_with_cache
 FROM t GROUP BY conv_id
 """)
 def q_cost_estimate(spark, sf_dir):

@@ -3,17 +3,20 @@
 Tumbling (or sliding) event-time windows with a watermark; the output is
 written in update mode through ``foreachBatch`` as (batch_id, rows); the
 current value of a window is its row from the latest batch that updated it.
-State for windows older than the watermark is dropped."""
+State for windows older than the watermark is dropped.  Event times are
+wall-clock TIMESTAMP_NTZ read as UTC instants (``quarry.functions.time``),
+so windows do not move with the session time zone."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from quarry.functions.time import ntz_to_instant
 from quarry.streaming.common import batch_sink, idempotent_batch_writer, run_available_now
 
 
 def windowed_counters(stream: DataFrame, ts_col: str = "ts", window: str = "1 hour", slide: str | None = None,
                       watermark: str = "1 hour", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
-    s = stream.withColumn("_ts", F.col(ts_col).cast("timestamp")).withWatermark("_ts", watermark)
+    s = stream.withColumn("_ts", ntz_to_instant(ts_col)).withWatermark("_ts", watermark)
     failed = F.col("event_type") == "error"
     return s.groupBy(F.window("_ts", window, slide) if slide else F.window("_ts", window), *by).agg(
         F.count("*").alias("requests"), F.count_if(failed).alias("failures"),
@@ -23,7 +26,7 @@ def windowed_counters(stream: DataFrame, ts_col: str = "ts", window: str = "1 ho
 def session_counters(stream: DataFrame, user_col: str = "user_id", ts_col: str = "ts", gap: str = "30 minutes",
                      watermark: str = "1 hour") -> DataFrame:
     """Per-user sessions (gap-based) with request counts."""
-    s = stream.withColumn("_ts", F.col(ts_col).cast("timestamp")).withWatermark("_ts", watermark)
+    s = stream.withColumn("_ts", ntz_to_instant(ts_col)).withWatermark("_ts", watermark)
     return s.groupBy(F.session_window("_ts", gap), user_col).agg(F.count("*").alias("requests"))
 
 

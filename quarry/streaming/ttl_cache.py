@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from quarry.functions.time import ntz_micros, ntz_to_instant
 from quarry.operators.cache import DEFAULT_TTL_SECONDS
 
 
@@ -21,7 +22,7 @@ def ttl_cache_stream(stream: DataFrame, key_col: str, ts_col: str, id_col: str,
                      ttl_seconds: int = DEFAULT_TTL_SECONDS, watermark: str = "2 hours") -> DataFrame:
     ttl_us = int(ttl_seconds) * 1_000_000
     ev = (stream.select(F.col(key_col).alias("k"), F.col(id_col).alias("id"),
-                        F.col(ts_col).cast("timestamp").alias("ts"))
+                        ntz_micros(ts_col).alias("us"), ntz_to_instant(ts_col).alias("ts"))
           .withWatermark("ts", watermark))
     out_schema = T.StructType([T.StructField("k", stream.schema[key_col].dataType),
                                T.StructField("id", stream.schema[id_col].dataType),
@@ -39,7 +40,7 @@ def ttl_cache_stream(stream: DataFrame, key_col: str, ts_col: str, id_col: str,
         if not outs:
             return
         pdf = pd.concat(outs, ignore_index=True)
-        us = (pd.to_datetime(pdf["ts"]).astype("int64") // 1000).to_numpy(np.int64)
+        us = pdf["us"].to_numpy(np.int64)
         order = np.lexsort((pdf["id"].to_numpy(), us))
         hit = np.zeros(len(us), dtype=bool)
         for j in order:

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quarry.functions.time import instant_to_ntz, ntz_to_instant
 from quarry.operators.embed import embed
 from quarry.operators.knn import knn_join, with_scores
 from quarry.plans.instrument import StageTimer, stage_shares, with_metrics
@@ -47,12 +48,11 @@ def test_session_windows(spark):
     ev = spark.read.parquet(f"{SF001}/events.parquet")
     s = file_stream(spark, f"{SF001}/events*.parquet", ev.schema)
     agg = session_counters(s, "user_id", "ts", "30 minutes").select(
-        F.col("session_window.start").cast("timestamp_ntz").alias("start"), "user_id", "requests")
+        instant_to_ntz("session_window.start").alias("start"), "user_id", "requests")
     out = {(r.start, r.user_id): r.requests for r in run_windowed(spark, agg, ["start", "user_id"], "append").collect()}
-    batch = ev.groupBy(F.session_window(F.col("ts").cast("timestamp"), "30 minutes"), "user_id").agg(
+    batch = ev.groupBy(F.session_window(ntz_to_instant("ts"), "30 minutes"), "user_id").agg(
         F.count("*").alias("requests")).select(
-        F.col("session_window.start").cast("timestamp_ntz").alias("start"),
-        F.col("session_window.end").cast("timestamp_ntz").alias("end"), "user_id", "requests").collect()
+        instant_to_ntz("session_window.start").alias("start"), "user_id", "requests").collect()
     assert out and all(batch_row.requests == out[(batch_row.start, batch_row.user_id)]
                        for batch_row in batch if (batch_row.start, batch_row.user_id) in out)
     assert len(out) >= 0.9 * len(batch)
