@@ -38,6 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 DEFAULT_BROADCAST_BYTES = 64 << 20
+MAX_PRUNE_KEYS = 10_000
 
 
 # --------------------------------------------------------------------------- #
@@ -231,6 +232,10 @@ def _query_broadcast(spark, q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype):
     for key, g in _key_tuple(qp, on):
         groups[_norm_key(key, on)] = (g[q_id].to_numpy(), _stack(g[q_vec]), g["_k"].to_numpy())
     bc = spark.sparkContext.broadcast(groups)
+    if len(on) == 1 and 0 < len(groups) <= MAX_PRUNE_KEYS:
+        # read only the keys some question asks for: a static IN filter that
+        # prunes partitions (vectors are written partitioned by IVF list)
+        c = c.where(F.col(on[0]).isin([k[0] for k in groups]))
 
     def run(it):
         qs = bc.value

@@ -67,3 +67,26 @@ def test_grid_splits_hot_filter_key(spark):
     b = knn_join(q, c, 3, q_id="qid", q_vec="q_vec", c_id="vec_id", on=["label"], strategy="index_broadcast")
     key = lambda r: (r.qid, r.rank, r.vec_id, round(r.d2, 9))
     assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+
+
+def test_vector_functions_and_input_truncation(spark):
+    from quarry.functions.vectors import dot, norm, sq_l2
+    from quarry.operators.embed import truncate_words
+    r = spark.createDataFrame([([1.0, 2.0], [3.0, 5.0], " a  b c d ")], "a array<double>, b array<double>, t string") \
+        .select(dot("a", "b").alias("d"), sq_l2("a", "b").alias("s"), norm("a").alias("n"),
+                truncate_words("t", 2).alias("w")).first()
+    assert (r.d, r.s) == (13.0, 13.0) and abs(r.n - 5 ** 0.5) < 1e-12 and r.w == " a"
+
+
+def test_ivf_scan_reads_only_probed_lists(spark, tmpdir_fresh):
+    from quarry.operators.knn import build_ivf, ivf_knn_join
+    e = spark.read.parquet(f"{SF001}/embeddings.parquet")
+    cents, assigned = build_ivf(e, 8, c_id="vec_id", c_vec="embedding", seed=5)
+    assigned.write.partitionBy("list_id").parquet(f"{tmpdir_fresh}/vec")
+    vec = spark.read.parquet(f"{tmpdir_fresh}/vec")
+    q = e.limit(3).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_vec"))
+    out = ivf_knn_join(q, cents, vec, 3, 1, q_id="qid", q_vec="q_vec", c_id="vec_id", strategy="query_broadcast")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    import re
+    assert re.search(r"PartitionFilters: \[list_id#\d+ IN \(", plan), plan
