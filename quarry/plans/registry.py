@@ -6,6 +6,7 @@ id.  Queries without an SQL form (recursive chunking, KMeans) register no SQL.
 """
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,13 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn: SparkFn) -> SparkFn:
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from quarry.session import ensure_checkpoint_dir, ship_package
+            ship_package(spark)
+            ensure_checkpoint_dir(spark)
+            return fn(spark, sf_dir.rstrip("/"))
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql.strip()
         return fn
