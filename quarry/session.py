@@ -38,13 +38,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a scratch folder is created and registered.
-    """
+    An already active checkpoint folder is kept as is (setting it again
+    would nest a new sub-folder each time).  Otherwise ``spark.checkpoint.dir``
+    is read from the session; only when that is unset too (local tests) a
+    scratch folder is created."""
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not d:
-        d = spark.conf.get("spark.checkpoint.dir", None)
+    active = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    if active:
+        return active
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(d)
