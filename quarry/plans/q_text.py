@@ -416,3 +416,58 @@ def q_answer_preview(spark, sf_dir):
 
 
 __all__ = ["doc_vectors", "question_vectors", "text_hits", "reranked", "tokens"]
+
+
+# --------------------------------------------------------------------------- #
+# retrieval quality against verbatim ground truth
+# --------------------------------------------------------------------------- #
+
+@register("retrieval_recall", "WITH " + _bm25_cte(10, 10).lstrip() + """,
+truth AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+ks(k) AS (VALUES (1), (3), (5), (10)),
+hits AS (SELECT 'hash_knn' AS method, k, th.item_id, th.doc_id FROM th, ks WHERE th.rank <= k
+         UNION ALL
+         SELECT 'bm25_rerank', k, bm.item_id, bm.doc_id FROM bm, ks WHERE bm.rerank <= k),
+per AS (SELECT m.method, ks.k FROM (VALUES ('hash_knn'), ('bm25_rerank')) m(method), ks)
+SELECT per.method, per.k::INTEGER AS k,
+       (SELECT count(DISTINCT item_id) FROM truth) AS n_questions,
+       (SELECT count(*) FROM truth) AS n_relevant,
+       count(DISTINCT h.item_id) AS n_questions_hit,
+       count(h.doc_id) AS n_relevant_found,
+       round(count(h.doc_id)::DOUBLE / (SELECT count(*) FROM truth), 6) AS recall
+FROM per LEFT JOIN (hits h JOIN truth t ON t.item_id = h.item_id AND t.doc_id = h.doc_id)
+  ON h.method = per.method AND h.k = per.k
+GROUP BY per.method, per.k
+""")
+def q_retrieval_recall(spark, sf_dir):
+    """Recall@k (k = 1, 3, 5, 10) of the hashed-embedding kNN and of its BM25
+    rerank, against the documents that contain each benchmark passage
+    verbatim (found by ``verbatim_matches``, an equi-join, no cross join)."""
+    from quarry.operators.match import verbatim_matches
+    docs = load_table(spark, sf_dir, "documents")
+    bench = load_table(spark, sf_dir, "benchmark")
+    truth = cut(verbatim_matches(bench, docs, p_id="item_id", p_text="text", d_id="doc_id", d_text="text"))
+    hits = cut(text_hits(spark, sf_dir, 10))
+    questions = bench.select("item_id", F.col("text").alias("question"))
+    rr = bm25_rerank(hits, questions, docs, q_id="item_id", q_text="question", d_id="doc_id", d_text="text", top_n=10)
+    ranked = (hits.select(F.lit("hash_knn").alias("method"), "item_id", "doc_id", F.col("rank").alias("r"))
+              .unionByName(rr.select(F.lit("bm25_rerank").alias("method"), "item_id", "doc_id",
+                                     F.col("rerank").alias("r"))))
+    ks = spark.createDataFrame([(1,), (3,), (5,), (10,)], "k int")
+    methods = spark.createDataFrame([("hash_knn",), ("bm25_rerank",)], "method string")
+    found = ranked.join(truth, ["item_id", "doc_id"])
+    # expand each found hit to the k values it counts for (r <= k): k is a
+    # fixed 4-value list, so this is a bounded explode, not a join
+    found = found.withColumn("k", F.explode(F.filter(F.array(*[F.lit(k) for k in (1, 3, 5, 10)]),
+                                                     lambda k: F.col("r") <= k)))
+    agg = found.groupBy("method", "k").agg(F.count_distinct("item_id").alias("n_questions_hit"),
+                                           F.count("*").alias("n_relevant_found"))
+    n_rel = truth.select(F.count("*")).scalar()
+    n_q = truth.select(F.count_distinct("item_id")).scalar()
+    all_mk = methods.select("method", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5, 10)])).alias("k"))
+    out = all_mk.join(agg, ["method", "k"], "left")
+    return out.select("method", F.col("k").cast("int").alias("k"), n_q.alias("n_questions"),
+                      n_rel.alias("n_relevant"),
+                      F.coalesce("n_questions_hit", F.lit(0)).alias("n_questions_hit"),
+                      F.coalesce("n_relevant_found", F.lit(0)).alias("n_relevant_found"),
+                      F.round(F.coalesce("n_relevant_found", F.lit(0)) / n_rel, R).alias("recall"))

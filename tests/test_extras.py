@@ -90,3 +90,21 @@ def test_ivf_scan_reads_only_probed_lists(spark, tmpdir_fresh):
     plan = out._jdf.queryExecution().executedPlan().toString()
     import re
     assert re.search(r"PartitionFilters: \[list_id#\d+ IN \(", plan), plan
+
+
+def test_verbatim_matches_edge_cases_and_brute_force(spark):
+    import pandas as pd
+    from quarry.operators.match import verbatim_matches
+    docs = spark.createDataFrame([(1, "xxthe quick brown fox jumps over the lazy dogs!"), (2, "ab"), (3, "cat"),
+                                  (4, "The Quick brown fox jumps over")], "doc_id long, text string")
+    ps = spark.createDataFrame([(10, "the quick brown fox jumps over the lazy dog"),  # starts/ends mid-word
+                                (11, "at"), (12, "b"), (13, "brown fox"), (14, "")], "item_id long, text string")
+    got = sorted((r.item_id, r.doc_id) for r in verbatim_matches(ps, docs).collect())
+    assert got == [(10, 1), (11, 3), (12, 1), (12, 2), (12, 4), (13, 1), (13, 4)]
+    d = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    b = pd.read_parquet("/root/testdata/sf0.01/benchmark.parquet")
+    exp = sorted((i, j) for i, p in zip(b.item_id, b.text) for j, t in zip(d.doc_id, d.text) if p in t)
+    got = sorted((r.item_id, r.doc_id) for r in verbatim_matches(
+        spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet"),
+        spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect())
+    assert got == exp and len(exp) == 26
