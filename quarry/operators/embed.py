@@ -59,15 +59,28 @@ def token_buckets(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_
 
 
 def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_DIM,
-               out: str = "embedding") -> DataFrame:
+               out: str = "embedding", short_texts: bool = False) -> DataFrame:
     """Signed feature hashing embedder; returns (id, n_tokens, embedding).
 
     Two aggregations, both code-generated: (id, bucket) sums - partially
     aggregated before the shuffle, so at most ``dim`` rows per text and task
     leave the map side - then one row per text: the norm as sqrt(sum(w^2))
     and the dense vector as ``dim`` conditional sums over at most ``dim``
-    rows.  No higher-order functions.  Texts without tokens get no row."""
+    rows.  No higher-order functions.  Texts without tokens get no row.
+    ``short_texts`` (chunks): one aggregation instead of two, see below."""
     tb = token_buckets(spread(df.select(id_col, text_col)), id_col, text_col, dim)
+    if short_texts:
+        # short texts (chunks): a (text, bucket) pre-aggregation barely
+        # shrinks the data, so one aggregation straight over the tokens -
+        # ``dim`` conditional sums, one shuffle of one row per text and task
+        agg = tb.groupBy(id_col).agg(
+            F.count("*").alias("n_tokens"),
+            *[F.sum(F.when(F.col("bucket") == b, F.col("sign")).otherwise(0)).cast("double").alias(f"_b{b}")
+              for b in range(dim)])
+        agg = agg.withColumn("_norm", F.sqrt(sum(F.col(f"_b{b}") * F.col(f"_b{b}") for b in range(dim))))
+        nz = F.col("_norm") > 0
+        vec = F.array(*[F.when(nz, F.col(f"_b{b}") / F.col("_norm")).otherwise(F.lit(0.0)) for b in range(dim)])
+        return agg.select(id_col, "n_tokens", vec.alias(out))
     per_bucket = tb.groupBy(id_col, "bucket").agg(F.sum("sign").cast("double").alias("w"),
                                                   F.count("*").alias("n"))
     per_text = per_bucket.groupBy(id_col).agg(
