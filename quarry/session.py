@@ -102,8 +102,10 @@ def ship_package(spark: SparkSession) -> None:
 
     Workers import the UDF modules by name; on a cluster (or when the driver
     runs from another folder) the package is shipped as a zip with
-    ``addPyFile``, the runtime form of ``--py-files``.  The zip is built on
-    the driver only as the upload source."""
+    ``addPyFile``, the runtime form of ``--py-files``.  The zip is built in
+    memory and written through the Hadoop FileSystem API into the shared
+    checkpoint folder, so no machine-local temporary folder is involved."""
+    import io
     import zipfile
 
     sc = spark.sparkContext
@@ -112,15 +114,22 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    out_dir = tempfile.mkdtemp(prefix="quarry-pkg-")
-    zpath = os.path.join(out_dir, "quarry.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for base, _dirs, files in os.walk(pkg_dir):
             if "__pycache__" in base:
                 continue
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(base, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(zpath)
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/_pkg-{uuid.uuid4().hex[:12]}/quarry.zip"
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(hpath, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(target)
     _SHIPPED.add(key)
