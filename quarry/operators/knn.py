@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 DEFAULT_BROADCAST_BYTES = 64 << 20
 MAX_PRUNE_KEYS = 10_000
+MAX_BLOCK_ELEMENTS = 5_000_000
 
 
 # --------------------------------------------------------------------------- #
@@ -66,6 +67,8 @@ def topk_block(qids: np.ndarray, Q: np.ndarray, ks: np.ndarray,
         return pd.DataFrame({"qid": qids[:0], "cid": cids[:0], "d2": np.zeros(0),
                              "_k": np.zeros(0, dtype=np.int32)})
     kmax = int(min(int(ks.max()), nc))
+    # bound the distance block (step x corpus rows) to ~5M doubles (40 MB)
+    step = max(1, min(step, int(MAX_BLOCK_ELEMENTS // nc)))
     xn = np.einsum("ij,ij->i", X, X)
     out_q, out_c, out_d, out_k = [], [], [], []
     for s in range(0, nq, step):

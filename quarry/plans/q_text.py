@@ -36,7 +36,7 @@ def doc_vectors(spark, sf_dir):
 
 def question_vectors(spark, sf_dir):
     b = load_table(spark, sf_dir, "benchmark")
-    return hash_embed(b, "item_id", "text", DIM, "q_vec")
+    return hash_embed(b, "item_id", "text", DIM, "q_vec", short_texts=True)
 
 
 def text_hits(spark, sf_dir, k):
