@@ -453,8 +453,6 @@ def q_retrieval_recall(spark, sf_dir):
     ranked = (hits.select(F.lit("hash_knn").alias("method"), "item_id", "doc_id", F.col("rank").alias("r"))
               .unionByName(rr.select(F.lit("bm25_rerank").alias("method"), "item_id", "doc_id",
                                      F.col("rerank").alias("r"))))
-    ks = spark.createDataFrame([(1,), (3,), (5,), (10,)], "k int")
-    methods = spark.createDataFrame([("hash_knn",), ("bm25_rerank",)], "method string")
     found = ranked.join(truth, ["item_id", "doc_id"])
     # expand each found hit to the k values it counts for (r <= k): k is a
     # fixed 4-value list, so this is a bounded explode, not a join
@@ -464,7 +462,8 @@ def q_retrieval_recall(spark, sf_dir):
                                            F.count("*").alias("n_relevant_found"))
     n_rel = truth.select(F.count("*")).scalar()
     n_q = truth.select(F.count_distinct("item_id")).scalar()
-    all_mk = methods.select("method", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5, 10)])).alias("k"))
+    all_mk = ranked.select("method").distinct().select(
+        "method", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5, 10)])).alias("k"))
     out = all_mk.join(agg, ["method", "k"], "left")
     return out.select("method", F.col("k").cast("int").alias("k"), n_q.alias("n_questions"),
                       n_rel.alias("n_relevant"),
