@@ -108,3 +108,38 @@ def test_verbatim_matches_edge_cases_and_brute_force(spark):
         spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet"),
         spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect())
     assert got == exp and len(exp) == 26
+
+
+def test_query_broadcast_many_small_batches(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_vec"))
+    base = sorted((r.qid, r.rank, r.vec_id) for r in
+                  knn_join(q, e, 4, q_id="qid", q_vec="q_vec", c_id="vec_id", strategy="index_broadcast").collect())
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted((r.qid, r.rank, r.vec_id) for r in
+                     knn_join(q, e.repartition(2), 4, q_id="qid", q_vec="q_vec", c_id="vec_id",
+                              strategy="query_broadcast").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == base
+
+
+def test_index_stats_additive_over_appends(spark, tmpdir_fresh):
+    from quarry.operators.index import build_and_write_index, read_term_stats
+    from quarry.operators.rerank import term_stats
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text", "source")
+    a, b = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    path = f"{tmpdir_fresh}/idx"
+    build_and_write_index(a, path, mode="overwrite", id_cols=("doc_id",))
+    build_and_write_index(b, path, mode="append", id_cols=("doc_id",))
+    chunks = spark.read.parquet(f"{path}/chunks")
+    terms, stats = read_term_stats(spark, path)
+    t_all, s_all = term_stats(chunks, "chunk_id", "text")
+    got = {r.term: r.df for r in terms.groupBy("term").agg(F.sum("df").alias("df")).collect()}
+    assert got == {r.term: r.df for r in t_all.collect()}
+    g = stats.agg(F.sum("n_docs"), F.sum("total_len")).first()
+    e = s_all.first()
+    assert (g[0], g[1]) == (e.n_docs, e.total_len)
+    assert spark.read.parquet(f"{path}/vectors").count() == chunks.count()
