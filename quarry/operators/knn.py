@@ -349,9 +349,10 @@ def ivf_knn_join(questions: DataFrame, centroids: DataFrame, assigned: DataFrame
     by the grid plan).  ``nprobe = n_lists`` is exact."""
     probes = knn_join(questions.select(q_id, q_vec), centroids, nprobe, q_id=q_id, q_vec=q_vec,
                       c_id="list_id", c_vec="centroid", strategy="index_broadcast")
-    extra = [kw["k_col"]] if kw.get("k_col") else []
+    extra = ([kw["k_col"]] if kw.get("k_col") else []) + list(kw.get("on", ()))
     qx = questions.select(q_id, q_vec, *extra).join(probes.select(q_id, "list_id"), q_id)
+    on_cols = ["list_id", *kw.pop("on", ())]
     # one row per (question, probed list); the final window merges the lists
-    return knn_join(qx, assigned.select(c_id, c_vec, "list_id"), k, q_id=q_id, q_vec=q_vec,
-                    c_id=c_id, c_vec=c_vec, on=["list_id"], strategy=strategy,
+    return knn_join(qx, assigned.select(c_id, c_vec, *on_cols), k, q_id=q_id, q_vec=q_vec,
+                    c_id=c_id, c_vec=c_vec, on=on_cols, strategy=strategy,
                     unique_questions=False, **kw)
