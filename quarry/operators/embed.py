@@ -96,7 +96,7 @@ Embedder = Callable[[pd.Series], np.ndarray]
 
 
 def embed(df: DataFrame, text_col: str, embedder: Embedder, dim: int, out: str = "embedding",
-          dedupe: bool = True, normalize_output: bool = True) -> DataFrame:
+          dedupe: bool = True, normalize_output: bool = True, max_words: int | None = None) -> DataFrame:
     """Run a plug-in embedder over ``text_col`` in Arrow batches.
 
     With ``dedupe`` every distinct text is embedded once (E2): distinct on
@@ -112,9 +112,11 @@ def embed(df: DataFrame, text_col: str, embedder: Embedder, dim: int, out: str =
                 m = np.where(n > 0, m / np.where(n > 0, n, 1), m)
             yield pd.Series(list(m))
 
+    # The model sees at most ``max_words`` words of each text
+    model_input = truncate_words(text_col, max_words) if max_words else F.col(text_col)
     if not dedupe:
-        return df.withColumn(out, _run(F.col(text_col)))
-    keyed = df.withColumn("_tkey", F.md5(F.col(text_col)))
-    uniq = keyed.select("_tkey", text_col).dropDuplicates(["_tkey"])
-    vecs = uniq.select("_tkey", _run(F.col(text_col)).alias(out))
+        return df.withColumn(out, _run(model_input))
+    keyed = df.withColumn("_tkey", F.md5(model_input))
+    uniq = keyed.select("_tkey", model_input.alias("_model_in")).dropDuplicates(["_tkey"])
+    vecs = uniq.select("_tkey", _run(F.col("_model_in")).alias(out))
     return keyed.join(vecs, "_tkey").drop("_tkey")

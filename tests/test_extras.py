@@ -143,3 +143,14 @@ def test_index_stats_additive_over_appends(spark, tmpdir_fresh):
     e = s_all.first()
     assert (g[0], g[1]) == (e.n_docs, e.total_len)
     assert spark.read.parquet(f"{path}/vectors").count() == chunks.count()
+
+
+def test_plugin_embedder_input_truncation(spark):
+    def emb(texts: pd.Series) -> np.ndarray:
+        # the vector encodes how many words the embedder was given
+        return np.stack([np.array([float(len(t.split())), 1.0]) for t in texts])
+
+    df = spark.createDataFrame([(1, "a b c d"), (2, "a b x y z")], "id long, text string")
+    out = {r.id: r.embedding for r in embed(df, "text", emb, 2, max_words=2).collect()}
+    expect = np.array([2.0, 1.0]) / np.sqrt(5.0)
+    assert np.allclose(out[1], expect) and np.allclose(out[2], expect)
