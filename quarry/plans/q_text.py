@@ -472,3 +472,14 @@ def q_retrieval_recall(spark, sf_dir):
                       F.coalesce("n_questions_hit", F.lit(0)).alias("n_questions_hit"),
                       F.coalesce("n_relevant_found", F.lit(0)).alias("n_relevant_found"),
                       F.round(F.coalesce("n_relevant_found", F.lit(0)) / n_rel, R).alias("recall"))
+
+
+@register("qa_batch_answers")
+def q_qa_batch_answers(spark, sf_dir):
+    """SURVEY 3.2 end to end: documents chunked, embedded and written as the
+    index, then every benchmark question answered in one batch (retrieval
+    over all chunks, BM25 rerank, extractive answer, cache bookkeeping).
+    Rows-only: chunking has no SQL form; its pieces are SQL-checked above."""
+    from quarry.plans.flagship import flagship
+    return flagship(spark, sf_dir).select(
+        "qid", "answer", F.size("sources").alias("n_sources"), "from_cache", "served_by")
