@@ -86,3 +86,13 @@ def test_window_group_limit(spark):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_ivf_with_filters_all_lists_equals_exact_filtered(spark):
+    q, e = _tables(spark)
+    cents, assigned = build_ivf(e, 5, c_id="vec_id", c_vec="embedding", seed=11)
+    exact = _rows(knn_join(q, e, 3, q_id="qid", q_vec="q_vec", c_id="vec_id", on=["label"]))
+    for strategy in ("query_broadcast", "grid"):
+        got = _rows(ivf_knn_join(q, cents, assigned, 3, 5, q_id="qid", q_vec="q_vec", c_id="vec_id",
+                                 strategy=strategy, on=["label"], c_block=60))
+        assert got == exact
