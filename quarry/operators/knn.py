@@ -177,6 +177,11 @@ def knn_join(questions: DataFrame, corpus: DataFrame, k: int = 3, *,
         kmax = k
     q = q.where(F.col(q_vec).isNotNull() & (F.col("_k") > 0))
     c = corpus.select(c_id, c_vec, *c_on).where(F.col(c_vec).isNotNull())
+    for col in on:
+        # equality semantics as in SQL: a NULL filter value matches nothing,
+        # the same in every physical plan
+        q = q.where(F.col(col).isNotNull())
+        c = c.where(F.col(col).isNotNull())
     qtype = questions.schema[q_id].dataType
     ctype = corpus.schema[c_id].dataType
 

@@ -96,3 +96,11 @@ def test_ivf_with_filters_all_lists_equals_exact_filtered(spark):
         got = _rows(ivf_knn_join(q, cents, assigned, 3, 5, q_id="qid", q_vec="q_vec", c_id="vec_id",
                                  strategy=strategy, on=["label"], c_block=60))
         assert got == exact
+
+
+def test_null_filter_value_matches_nothing(spark):
+    c = spark.createDataFrame([(1, [0.0, 1.0], None), (2, [1.0, 0.0], "a")], "vec_id long, embedding array<double>, f string")
+    q = spark.createDataFrame([(10, [0.0, 1.0], None), (11, [0.0, 1.0], "a")], "qid long, q_vec array<double>, f string")
+    for s in ("index_broadcast", "query_broadcast", "grid"):
+        got = sorted((r.qid, r.vec_id) for r in knn_join(q, c, 2, c_id="vec_id", on=["f"], strategy=s).collect())
+        assert got == [(11, 2)], (s, got)
