@@ -104,3 +104,18 @@ def test_null_filter_value_matches_nothing(spark):
     for s in ("index_broadcast", "query_broadcast", "grid"):
         got = sorted((r.qid, r.vec_id) for r in knn_join(q, c, 2, c_id="vec_id", on=["f"], strategy=s).collect())
         assert got == [(11, 2)], (s, got)
+
+
+def test_broadcast_limit_falls_back_to_grid(spark):
+    from quarry.operators.knn import choose_strategy
+    q, e = _tables(spark)
+    qq = q.select("qid", "q_vec")
+    cc = e.select("vec_id", "embedding")
+    assert choose_strategy(qq, cc, "embedding", 64 << 20) == "index_broadcast"
+    assert choose_strategy(qq, cc, "embedding", 64 << 20, allow_index_broadcast=False) == "query_broadcast"
+    assert choose_strategy(qq, cc, "embedding", 1000) == "grid"
+    out = knn_join(q, e, 3, q_id="qid", q_vec="q_vec", c_id="vec_id", broadcast_bytes=1000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
+    base = _rows(knn_join(q, e, 3, q_id="qid", q_vec="q_vec", c_id="vec_id"))
+    assert _rows(out) == base
