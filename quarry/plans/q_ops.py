@@ -62,6 +62,16 @@ def q_cache_ttl_replay(spark, sf_dir):
     return ttl_replay(ev, "user_id", "ts", "event_id", 3600)
 
 
+@register("cache_ttl_replay_hot_path", "WITH RECURSIVE" + _REPLAY_SQL + """
+SELECT event_id, user_id, hit FROM rp
+""")
+def q_cache_ttl_replay_hot_path(spark, sf_dir):
+    """H8 with every key treated as hot: the pointer-doubling plan that
+    handles keys too large for one task, checked against the same SQL."""
+    ev = load_table(spark, sf_dir, "events")
+    return ttl_replay(ev, "user_id", "ts", "event_id", 3600, hot_threshold=0, bucket_seconds=600)
+
+
 # --------------------------------------------------------------------------- #
 # cache keys and batch lookup
 # --------------------------------------------------------------------------- #
