@@ -49,6 +49,24 @@ def knn_exact_top3(spark, sf_dir):
     return _rounded(hits)
 
 
+# The same query through the other two physical plans (the automatic choice
+# at this scale is the index broadcast): corpus streamed past a broadcast
+# question batch, and the hash-salted grid with small blocks (many cells).
+@register("knn_exact_top3_streamed", _KNN_SQL.format(on="TRUE", where="WHERE rank <= 3"))
+def knn_exact_top3_streamed(spark, sf_dir):
+    hits = knn_join(embedding_questions(spark, sf_dir), embedding_corpus(spark, sf_dir), 3,
+                    q_id="qid", q_vec="q_vec", c_id="vec_id", c_vec="embedding", strategy="query_broadcast")
+    return _rounded(hits)
+
+
+@register("knn_exact_top3_grid", _KNN_SQL.format(on="TRUE", where="WHERE rank <= 3"))
+def knn_exact_top3_grid(spark, sf_dir):
+    hits = knn_join(embedding_questions(spark, sf_dir), embedding_corpus(spark, sf_dir), 3,
+                    q_id="qid", q_vec="q_vec", c_id="vec_id", c_vec="embedding", strategy="grid",
+                    q_block=128, c_block=128)
+    return _rounded(hits)
+
+
 # J5 + J9: each question searches only vectors with its own label (metadata
 # equality filter) and asks for k = label % 4 results, NULL (label % 4 = 0)
 # meaning the default k = 3.
