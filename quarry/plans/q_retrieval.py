@@ -81,6 +81,24 @@ def knn_filtered(spark, sf_dir):
     return _rounded(hits)
 
 
+_KNN_FILTERED_SQL = _KNN_SQL.format(
+    on="q.label = e.label",
+    where="WHERE rank <= coalesce(nullif((SELECT label FROM embeddings x WHERE x.vec_id = r.qid) % 4, 0), 3)")
+
+
+@register("knn_filtered_grid", _KNN_FILTERED_SQL)
+def knn_filtered_grid(spark, sf_dir):
+    """knn_filtered through the grid plan with small blocks: each label is
+    split into several question and vector blocks from its own counts (the
+    hot-key path of a filter value holding many rows)."""
+    q = embedding_questions(spark, sf_dir).withColumn(
+        "k", F.when(F.col("label") % 4 == 0, F.lit(None)).otherwise(F.col("label") % 4))
+    hits = knn_join(q, embedding_corpus(spark, sf_dir), 3, q_id="qid", q_vec="q_vec",
+                    c_id="vec_id", c_vec="embedding", k_col="k", on=["label"], strategy="grid",
+                    q_block=16, c_block=16)
+    return _rounded(hits)
+
+
 def _ivf(spark, sf_dir, n_lists, nprobe):
     corpus = embedding_corpus(spark, sf_dir)
     centroids, assigned = build_ivf(corpus, n_lists, c_id="vec_id", c_vec="embedding", seed=7)
