@@ -108,7 +108,10 @@ def ship_package(spark: SparkSession) -> None:
     import io
     import zipfile
 
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        return
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
