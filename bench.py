@@ -42,6 +42,8 @@ def main() -> None:
     if os.path.isdir(warm_dir):
         for name in ("knn_exact_top3", "hash_embed", "bm25_rerank_top3", "cache_ttl_replay"):
             reg.QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
+        wc, wv, ws = ingest(spark, warm_dir)
+        ask_batch(spark, warm_dir, wc, wv, ws).answers.write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
     for name in HEADLINE:
@@ -72,13 +74,14 @@ def main() -> None:
         extra["flagship_cached_ms_per_question"] = round(1000 * times["flagship_cached_query"] / n_q, 3)
         extra["flagship_cache_hits"] = again.answers.where("from_cache").count()
         # approximate path: IVF layout (32 lists), 4 probed per question
+        # (reported separately, not part of the summed total)
         t = time.perf_counter()
         ich, ivec, cents = build_ivf_index(spark, index_path, 32, seed=7)
-        times["flagship_ivf_build"] = round(time.perf_counter() - t, 3)
+        extra["flagship_ivf_build_sec"] = round(time.perf_counter() - t, 3)
         t = time.perf_counter()
         ivf = ask_batch(spark, sf_dir, ich, ivec, stats, centroids=cents, nprobe=4)
         ivf_answers = ivf.answers.select("qid", "answer").checkpoint()
-        times["flagship_ivf_query"] = round(time.perf_counter() - t, 3)
+        extra["flagship_ivf_query_sec"] = round(time.perf_counter() - t, 3)
         same = ivf_answers.join(first.answers.select("qid", F.col("answer").alias("exact")), "qid") \
             .where(F.col("answer") == F.col("exact")).count()
         extra["flagship_ivf_same_answer_share"] = round(same / n_q, 3)
