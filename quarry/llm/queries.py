@@ -1,3 +1,3 @@
 """All queries of this subpackage: importing it fills the registry."""
-from quarry.llm import q_dedup, q_mix, q_rules, q_spans  # noqa: F401
+from quarry.llm import q_chat, q_dedup, q_mix, q_pages, q_rules, q_spans  # noqa: F401
 from quarry.llm.registry import ORACLE, QUERIES  # noqa: F401
