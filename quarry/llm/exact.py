@@ -11,8 +11,8 @@ no hash is involved, so nothing can collide.
 Scale.  One shuffle carries the text (the sort of the blocks); later levels
 carry integers and halve each time.  The sort key ends with the row and the
 position, so a block that a third of all rows share is cut over many
-partitions; its runs are joined again through the first and last block of each
-partition (at most two rows a partition).
+partitions; its runs are joined again through the first and last blocks of
+each partition.
 
 Defined cases: a null text counts as empty; empty texts are equal; repeated
 rows and null ids are rows like others (of rows equal in text and id, the last
@@ -20,77 +20,87 @@ one in scan order stays); an empty table gives an empty result.
 """
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quarry.llm.common import with_uid, written
 
 BLOCK = 1024
 
 
+def _column(table: pa.Table, name: str) -> pa.Array:
+    c = table.column(name).combine_chunks()
+    return c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+
+
 def _runs(keys: list[str], carried: list[str], schema: pa.Schema):
     """mapInArrow function over sorted partitions: numbers the runs of equal
-    keys; after the rows come the first and the last key (``edge`` rows)."""
+    keys; after the rows come the runs (``edge`` rows) that may go on in
+    another partition: those of the first and of the last ``h``."""
 
     def fn(batches):
         part = TaskContext.get().partitionId()
-        run, last, first = -1, None, None
+        run, last, first_h, last_h = -1, None, None, None
+        first, tail = [], []
         for b in batches:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
-            cols = [t.column(k).combine_chunks() for k in keys]
-            cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
-            new = None
+            h, cols = np.asarray(_column(t, "h")), [_column(t, k) for k in keys]
+            new = np.zeros(b.num_rows, bool)
             for c in cols:
-                d = pc.not_equal(c[1:], c[:-1])
-                new = d if new is None else pc.or_(new, d)
-            head = tuple(c[0].as_py() for c in cols)
-            start = head != last
-            first = head if first is None else first
-            steps = pa.concat_arrays([pa.array([int(start)], pa.int64()), pc.cast(new, pa.int64())])
-            runs = pc.add(pc.cumulative_sum(steps), run)
-            run = runs[-1].as_py()
+                new[1:] |= np.asarray(pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False), bool)
+            new[0] = tuple(c[0].as_py() for c in cols) != last
             last = tuple(c[-1].as_py() for c in cols)
-            n = b.num_rows
-            out = [t.column(c).combine_chunks() for c in carried]
-            out = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in out]
-            out += [pa.array([part] * n, pa.int64()), runs]
-            out += [pa.nulls(n, f.type) for f in schema][len(out):]
+            runs = run + np.cumsum(new)
+            run = int(runs[-1])
+            at = lambda i: (int(runs[i]), tuple(c[int(i)].as_py() for c in cols))  # noqa: B023, E731
+            first_h = h[0] if first_h is None else first_h
+            first += [at(i) for i in np.flatnonzero(new & (h == first_h))]
+            if h[-1] != last_h:
+                last_h, tail = h[-1], []
+            tail += [at(i) for i in np.flatnonzero(new & (h == last_h))]
+            out = [_column(t, c) for c in carried] + [pa.array([part] * b.num_rows, pa.int64()), pa.array(runs, pa.int64())]
+            out += [pa.nulls(b.num_rows, f.type) for f in schema][len(out):]
+            yield pa.RecordBatch.from_arrays(out, schema=schema)
+        edges = list(dict(first + tail).items())
+        if edges:
+            n, nc = len(edges), len(carried)
+            out = [pa.nulls(n, f.type) for f in schema][:nc]
+            out += [pa.array([part] * n, pa.int64()), pa.array([r for r, _ in edges], pa.int64())]
+            out += [pa.array([k[i] for _, k in edges], schema.field(nc + 2 + i).type) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays(out, schema=schema)
-        if last is not None:
-            nc = len(carried)
-            edge = [pa.nulls(2, f.type) for f in schema][:nc]
-            edge += [pa.array([part, part], pa.int64()), pa.array([0, run], pa.int64())]
-            edge += [pa.array([first[i], last[i]], schema.field(nc + 2 + i).type) for i in range(len(keys))]
-            yield pa.RecordBatch.from_arrays(edge, schema=schema)
 
     return fn
 
 
 def name_rows(df: DataFrame, keys: list[str], tie: list[str], carried: list[str], tag: str) -> DataFrame:
     """``carried`` plus ``name``: an integer that is equal for rows with equal
-    keys and different for others.  The result is a written table."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import LongType, StructField, StructType
+    keys and different for others.  The result is a written table.
 
+    The order is by a hash of the keys, then the keys themselves: the bounds of
+    the sort that pass through the driver are three integers a partition."""
     spark_schema = StructType([*(StructField(c, df.schema[c].dataType) for c in carried),
                                StructField("part", LongType()), StructField("run", LongType()),
                                *(StructField(f"edge_{k}", df.schema[k].dataType) for k in keys)])
     schema = to_arrow_schema(spark_schema)
-    ordered = df.repartitionByRange(*keys, *tie).sortWithinPartitions(*keys, *tie)
+    ordered = (df.withColumn("h", F.xxhash64(*keys)).repartitionByRange("h", *tie)
+               .sortWithinPartitions("h", *keys, *tie))
     runs = written(ordered.mapInArrow(_runs(keys, carried, schema), spark_schema), tag)
     is_edge = F.col(carried[0]).isNull()
     at = F.col("part") * F.lit(1 << 32) + F.col("run")
-    # equal first/last keys of different partitions are one run
+    # edge runs with equal keys are one run
     edges = runs.where(is_edge).withColumn("at", at)
     same = edges.groupBy(*[f"edge_{k}" for k in keys]).agg(F.min("at").alias("name"))
     alias = (edges.join(same, [edges[f"edge_{k}"].eqNullSafe(same[f"edge_{k}"]) for k in keys])
              .select("at", "name").where("at <> name").distinct())
     rows = runs.where(~is_edge).withColumn("at", at)
-    # at most two rows for each partition of the sort, whatever the data
+    # two rows for each partition of the sort (more only where hashes collide)
     return (rows.join(F.broadcast(alias), "at", "left")
             .select(*carried, F.coalesce("name", "at").alias("name")))
 
@@ -136,8 +146,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """uid, doc_id, keep_id, group_size, kept, text_sha256 for every row; the
     row with the largest id of each group of equal texts stays."""
     ids = identities(docs, id_col, text_col, block)
-    groups = (ids.groupBy("level", "name")
-              .agg(F.max(F.struct("doc_id", "uid")).alias("top"), F.count("*").alias("group_size")))
-    return (ids.join(groups, ["level", "name"])
+    # written, so that the join below has two plain sides and can split a group
+    # of copies that fills more than its share of a partition
+    groups = written(ids.groupBy("level", "name")
+                     .agg(F.max(F.struct("doc_id", "uid")).alias("top"), F.count("*").alias("group_size")), "copies")
+    return (ids.join(groups.hint("merge"), ["level", "name"])
             .select("uid", "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size",
                     (F.col("uid") == F.col("top.uid")).alias("kept"), "text_sha256"))
