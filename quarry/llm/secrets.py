@@ -71,14 +71,14 @@ def score(value: str) -> float:
 
 
 def assignments(text: str):
-    """(name, [(value, start, end) or name, ...]) in text order."""
+    """(name, [(value or name, start, end, is a name), ...]) in text order."""
     end = 0
     for op in _OPERATOR.finditer(text):
         at = op.start()
         if at < end or text[at:at + 3] == "://" or text[at:at + 2] == "==" or text[at - 1:at] in ("=", "!", "<", ">"):
             continue
         lo = max(0, at - NAME_WINDOW, text.rfind("\n", 0, at) + 1)
-        name = _NAME_LEFT.search(text, lo, at)
+        name = _NAME_LEFT.search(text[lo:at])
         if not name:
             continue
         terms, pos = [], op.end()
@@ -86,7 +86,7 @@ def assignments(text: str):
             g = m.lastindex
             if g is None:
                 break
-            terms.append(m.group(4) if g == 4 else (m.group(g), m.start(g), m.end(g)))
+            terms.append((m.group(g), m.start(g), m.end(g), g == 4))
             pos = m.end()
             plus = _PLUS.match(text, pos)
             if not plus:
@@ -102,9 +102,10 @@ def literals(text: str) -> list[Span]:
     out: dict[tuple[int, int], float] = {}
     for name, terms in assignments(text):
         parts = []
-        for t in terms:
-            parts += known.get(t, []) if isinstance(t, str) else [t]
-        if not parts and isinstance(terms[0], str):
+        for value, a, b, is_name in terms:
+            # a name without a constant is a bare value if it has digits (NAME=value)
+            parts += known.get(value, [(value, a, b)] if re.search("[0-9]", value) else []) if is_name else [(value, a, b)]
+        if not parts:
             continue
         known[name] = parts[:64]
         if sensitive(name):
@@ -113,7 +114,7 @@ def literals(text: str) -> list[Span]:
                 for v, a, b in parts:
                     if v:
                         out[a, b] = max(s, out.get((a, b), 0))
-    return [("literal", a, b, s) for (a, b), s in out.items()]
+    return [("literal", a, b, s) for (a, b), s in sorted(out.items())]
 
 
 def secrets(text: str) -> list[Span]:
