@@ -1,21 +1,23 @@
 """Embedding.
 
 * ``normalize`` / ``truncate``: E3 / E4 as column expressions.
-* ``hash_embed``: the built-in deterministic embedder (E5), pure Catalyst:
-  lower-case word tokens, bucket = first 8 hex digits of md5(token) mod dim,
-  sign = +1 when the 9th hex digit is 0-7 else -1, summed per text, then
-  L2-normalised.  One shuffle keyed by the text id carrying ``dim`` partial
-  sums per row (map-side partial aggregation), no per-token shuffle.
+* ``hash_embed``: the built-in deterministic embedder (E5): lower-case word
+  tokens, bucket = first 8 hex digits of md5(token) mod dim, sign = +1 when
+  the 9th hex digit is 0-7 else -1, summed per text, then L2-normalised;
+  row-local in Arrow batches, no shuffle.
 * ``embed``: a plug-in embedder (``pd.Series[str] -> 2-D array``) run as an
   iterator Pandas UDF in Arrow batches (E1), optionally embedding each
   distinct text once (E2: dedupe by md5, embed, join back).
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from quarry.functions.text import tokens
@@ -58,38 +60,38 @@ def token_buckets(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_
         F.when(F.substring(h, 9, 1) < "8", F.lit(1)).otherwise(F.lit(-1)).alias("sign"))
 
 
+def _signed_sums(id_type: T.StructField, dim: int, out: str):
+    """mapInArrow function over (id, tokens): every distinct token of a batch
+    is hashed once, the signs are summed by (text, bucket)."""
+    def run(batches):
+        for b in batches:
+            words = b.column(1)
+            n = np.asarray(pc.fill_null(pc.list_value_length(words), 0))
+            coded = words.flatten().dictionary_encode()
+            h = [hashlib.md5(w.encode()).hexdigest() for w in coded.dictionary.to_pylist()]
+            bucket = np.array([int(x[:8], 16) % dim for x in h], np.int64)
+            sign = np.array([1.0 if x[8] < "8" else -1.0 for x in h])
+            code, row = np.asarray(coded.indices), np.repeat(np.arange(len(n)), n)
+            m = np.bincount(row * dim + bucket[code], sign[code], len(n) * dim).reshape(len(n), dim) if len(code) else np.zeros((len(n), dim))
+            size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)[n > 0]
+            keep = pa.array(n > 0)
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * dim, pa.int32()), pa.array(m.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), pa.array(n[n > 0].astype(np.int64)), vec],
+                                             names=[id_type.name, "n_tokens", out])
+    return run
+
+
 def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_DIM,
                out: str = "embedding", short_texts: bool = False) -> DataFrame:
     """Signed feature hashing embedder; returns (id, n_tokens, embedding).
-
-    Two aggregations, both code-generated: (id, bucket) sums - partially
-    aggregated before the shuffle, so at most ``dim`` rows per text and task
-    leave the map side - then one row per text: the norm as sqrt(sum(w^2))
-    and the dense vector as ``dim`` conditional sums over at most ``dim``
-    rows.  No higher-order functions.  Texts without tokens get no row.
-    ``short_texts`` (chunks): one aggregation instead of two, see below."""
-    tb = token_buckets(spread(df.select(id_col, text_col)), id_col, text_col, dim)
-    if short_texts:
-        # short texts (chunks): a (text, bucket) pre-aggregation barely
-        # shrinks the data, so one aggregation straight over the tokens -
-        # ``dim`` conditional sums, one shuffle of one row per text and task
-        agg = tb.groupBy(id_col).agg(
-            F.count("*").alias("n_tokens"),
-            *[F.sum(F.when(F.col("bucket") == b, F.col("sign")).otherwise(0)).cast("double").alias(f"_b{b}")
-              for b in range(dim)])
-        agg = agg.withColumn("_norm", F.sqrt(sum(F.col(f"_b{b}") * F.col(f"_b{b}") for b in range(dim))))
-        nz = F.col("_norm") > 0
-        vec = F.array(*[F.when(nz, F.col(f"_b{b}") / F.col("_norm")).otherwise(F.lit(0.0)) for b in range(dim)])
-        return agg.select(id_col, "n_tokens", vec.alias(out))
-    per_bucket = tb.groupBy(id_col, "bucket").agg(F.sum("sign").cast("double").alias("w"),
-                                                  F.count("*").alias("n"))
-    per_text = per_bucket.groupBy(id_col).agg(
-        F.sum("n").alias("n_tokens"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
-        *[F.sum(F.when(F.col("bucket") == b, F.col("w"))).alias(f"_b{b}") for b in range(dim)])
-    nz = F.col("_norm") > 0
-    vec = F.array(*[F.when(nz, F.coalesce(F.col(f"_b{b}"), F.lit(0.0)) / F.col("_norm")).otherwise(F.lit(0.0))
-                    for b in range(dim)])
-    return per_text.select(id_col, "n_tokens", vec.alias(out))
+    Row-local: tokens are split in the JVM, summed by bucket in Arrow batches;
+    nothing is shuffled.  Texts without tokens get no row.  (``short_texts``
+    is kept for callers; there is one plan for all lengths.)"""
+    src = spread(df.select(id_col, tokens(text_col).alias("_t")))
+    field = src.schema[id_col]
+    schema = T.StructType([field, T.StructField("n_tokens", T.LongType()), T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return src.mapInArrow(_signed_sums(field, dim, out), schema)
 
 
 Embedder = Callable[[pd.Series], np.ndarray]

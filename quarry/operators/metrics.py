@@ -28,15 +28,16 @@ def _served(log):
     return ~F.coalesce(F.col("failed"), F.lit(False))
 
 
-def counters(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def counters(log: DataFrame, by: Sequence[str] = (), rollup: bool = False) -> DataFrame:
     """M1: queries (counted before the call, failures included), hits and
-    misses of returned results (NULL from_cache = miss), hit rate."""
+    misses of returned results (NULL from_cache = miss), hit rate.
+    ``rollup`` adds the subtotals (NULL in ``by``)."""
     served = _served(log)
     hit = served & F.coalesce(F.col("from_cache"), F.lit(False))
     miss = served & ~F.coalesce(F.col("from_cache"), F.lit(False))
     agg = [F.count("*").alias("queries"), F.count_if(~served).alias("failures"),
            F.count_if(hit).alias("cache_hits"), F.count_if(miss).alias("cache_misses")]
-    g = log.groupBy(*by).agg(*agg)
+    g = (log.rollup(*by) if rollup else log.groupBy(*by)).agg(*agg)
     return g.withColumn("hit_rate", F.when(F.col("cache_hits") + F.col("cache_misses") > 0,
                                            F.col("cache_hits") / (F.col("cache_hits") + F.col("cache_misses"))))
 
@@ -100,10 +101,14 @@ def slow_queries(log: DataFrame, thresholds: dict[str, float]) -> DataFrame:
 
 def cost(log: DataFrame, input_tokens: str, output_tokens: str, embed_tokens: str | None = None,
          hit_rate=None, by=()) -> DataFrame:
-    """M8: token cost; with a hit rate the cached share costs nothing."""
-    c = (F.sum(input_tokens) / 1000 * PRICE_INPUT_PER_1K + F.sum(output_tokens) / 1000 * PRICE_OUTPUT_PER_1K)
+    """M8: token cost (no tokens cost nothing); with a hit rate the cached
+    share costs nothing."""
+    def used(c):
+        return F.coalesce(F.sum(c), F.lit(0))
+
+    c = used(input_tokens) / 1000 * PRICE_INPUT_PER_1K + used(output_tokens) / 1000 * PRICE_OUTPUT_PER_1K
     if embed_tokens:
-        c = c + F.sum(embed_tokens) / 1000 * PRICE_EMBED_PER_1K
+        c = c + used(embed_tokens) / 1000 * PRICE_EMBED_PER_1K
     g = log.groupBy(*by).agg(F.sum(input_tokens).alias("input_tokens"), F.sum(output_tokens).alias("output_tokens"),
                              c.alias("cost"))
     if hit_rate is not None:

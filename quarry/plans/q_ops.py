@@ -14,7 +14,7 @@ from quarry.functions.fmt import format_ms, format_seconds
 from quarry.functions.keys import cache_key_kwargs, cache_key_md5, cache_key_prefixed
 from quarry.operators.cache import answer_with_cache, clear_marker, entries, ttl_replay
 from quarry.operators.metrics import (
-    bench_stats, cost, counters, docs_histogram, latency_blend, latency_histogram, slow_queries,
+    bench_stats, cost, counters, docs_histogram, latency_blend, latency_histogram, slow_queries, stage_split,
 )
 from quarry.plans.registry import register
 from quarry.sources.tables import load_table
@@ -26,14 +26,19 @@ R = 6
 # request log
 # --------------------------------------------------------------------------- #
 
-def events_query_log(spark, sf_dir):
-    ev = load_table(spark, sf_dir, "events")
-    rp = ttl_replay(ev, "user_id", "ts", "event_id", 3600, carry=("ts", "event_type", "value", "props"))
-    failed = F.col("event_type") == "error"
-    return rp.select(
+def request_log(spark, sf_dir):
+    """The log without ``from_cache``: a projection of the events table."""
+    return load_table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type", F.col("value").alias("total_ms"),
-        F.get_json_object("props", "$.k").cast("int").alias("n_docs"),
-        failed.alias("failed"), F.when(failed, F.lit(None)).otherwise(F.col("hit")).alias("from_cache"))
+        F.get_json_object("props", "$.k").cast("int").alias("n_docs"), (F.col("event_type") == "error").alias("failed"))
+
+
+def events_query_log(spark, sf_dir):
+    """The log with ``from_cache``: the replay carries what the metrics read."""
+    rp = ttl_replay(request_log(spark, sf_dir), "user_id", "ts", "event_id", 3600,
+                    carry=("event_type", "total_ms", "failed"))
+    return rp.select("event_id", "user_id", "event_type", "total_ms", "failed",
+                     F.when(F.col("failed"), F.lit(None)).otherwise(F.col("hit")).alias("from_cache"))
 
 
 _REPLAY_SQL = """
@@ -158,13 +163,7 @@ FROM ql GROUP BY ROLLUP (event_type)
 def q_query_counters(spark, sf_dir):
     """M1 per request type with a rollup total (event_type NULL)."""
     log = events_query_log(spark, sf_dir)
-    served = ~F.col("failed")
-    fc = F.coalesce(F.col("from_cache"), F.lit(False))
-    g = log.rollup("event_type").agg(
-        F.count("*").alias("queries"), F.count_if(~served).alias("failures"),
-        F.count_if(served & fc).alias("cache_hits"), F.count_if(served & ~fc).alias("cache_misses"))
-    tot = F.col("cache_hits") + F.col("cache_misses")
-    return g.withColumn("hit_rate", F.round(F.when(tot > 0, F.col("cache_hits") / tot), R))
+    return counters(log, ["event_type"], rollup=True).withColumn("hit_rate", F.round("hit_rate", R))
 
 
 def _hist_sql(value: str, edges, where: str) -> str:
@@ -183,14 +182,14 @@ SELECT '+Inf', count(v), round(sum(v)::DOUBLE, 6), count(v) FROM obs
     "total_ms / 1000.0", (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0), "TRUE"))
 def q_latency_histogram(spark, sf_dir):
     """M2: request duration (seconds) histogram, cumulative buckets."""
-    h = latency_histogram(events_query_log(spark, sf_dir))
+    h = latency_histogram(request_log(spark, sf_dir))
     return h.select("le", "cum_count", F.round("sum", R).alias("sum"), "count")
 
 
 @register("docs_histogram", _LOG_SQL + "," + _hist_sql("n_docs", (1, 2, 3, 5, 10, 20, 50, 100), "NOT failed"))
 def q_docs_histogram(spark, sf_dir):
     """M3: documents per returned result (cache hits included)."""
-    h = docs_histogram(events_query_log(spark, sf_dir))
+    h = docs_histogram(request_log(spark, sf_dir))
     return h.select("le", "cum_count", F.round("sum", R).alias("sum"), "count")
 
 
@@ -219,13 +218,13 @@ SELECT event_type AS stage, round(avg(value), 6) AS avg_ms,
 FROM events GROUP BY event_type
 """)
 def q_stage_split(spark, sf_dir):
-    """M6 in long form: time per stage label and its share of all time (the
-    request type stands in for the stage label; the batch answer plan logs
-    real per-stage timings through the same function)."""
-    ev = load_table(spark, sf_dir, "events")
-    total = ev.select(F.sum("value")).scalar()
-    g = ev.groupBy(F.col("event_type").alias("stage")).agg(F.avg("value").alias("avg_ms"), F.sum("value").alias("_s"))
-    return g.select("stage", F.round("avg_ms", R).alias("avg_ms"), F.round(F.col("_s") / total, R).alias("share"))
+    """M6, unpivoted: mean time of each stage and its share of all time.  The
+    request type names the stage that took an event's time."""
+    stages = ("view", "click", "error", "purchase", "signup")
+    log = request_log(spark, sf_dir).select("total_ms", *[F.when(F.col("event_type") == s, F.col("total_ms")).alias(s) for s in stages])
+    rows = ", ".join(f"'{s}', avg_{s}, share_{s}" for s in stages)
+    long = stage_split(log, stages).selectExpr(f"stack({len(stages)}, {rows}) AS (stage, avg_ms, share)")
+    return long.select("stage", F.round("avg_ms", R).alias("avg_ms"), F.round("share", R).alias("share"))
 
 
 SLOW = {"total_ms": 250.0, "n_docs": 95.0}
@@ -239,7 +238,7 @@ FROM ql WHERE total_ms > 250.0 OR n_docs > 95.0
 """)
 def q_slow_queries(spark, sf_dir):
     """M7: requests over a stage threshold, with reasons."""
-    s = slow_queries(events_query_log(spark, sf_dir), SLOW)
+    s = slow_queries(request_log(spark, sf_dir), SLOW)
     return s.select("event_id", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -276,11 +275,9 @@ def q_cost_estimate(spark, sf_dir):
     n = F.size(F.filter(F.split("text", r"\s+", -1), lambda x: x != ""))
     t = c.select("conv_id", F.when(F.col("role") != "assistant", n).alias("inp"),
                  F.when(F.col("role") == "assistant", n).alias("out"))
-    g = t.groupBy("conv_id").agg(F.sum("inp").alias("input_tokens"), F.sum("out").alias("output_tokens"))
-    base = (F.coalesce(F.col("input_tokens"), F.lit(0)) / 1000 * 0.0002
-            + F.coalesce(F.col("output_tokens"), F.lit(0)) / 1000 * 0.0006)
-    return g.select("conv_id", "input_tokens", "output_tokens", F.round(base, 9).alias("cost"),
-                    F.round(base * (1 - 0.8), 9).alias("cost_with_cache"))
+    g = cost(t, "inp", "out", hit_rate=0.8, by=["conv_id"])
+    return g.select("conv_id", "input_tokens", "output_tokens", F.round("cost", 9).alias("cost"),
+                    F.round("cost_with_cache", 9).alias("cost_with_cache"))
 
 
 @register("format_times", """
@@ -295,6 +292,3 @@ def q_format_times(spark, sf_dir):
     ev = load_table(spark, sf_dir, "events")
     return ev.select("event_id", format_ms("value").alias("as_ms"),
                      format_seconds(F.col("value") / 1000).alias("as_seconds"))
-
-
-__all__ = ["events_query_log", "cost", "counters"]

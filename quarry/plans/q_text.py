@@ -17,6 +17,7 @@ from quarry.operators.prompts import (
 from quarry.operators.rerank import B, K1, bm25_rerank, passthrough
 from quarry.plans.registry import register
 from quarry.session import cut
+from quarry.sources.files import load_report
 from quarry.sources.html import html_to_text, pages_to_documents, sql_html_to_text
 from quarry.sources.tables import load_table
 
@@ -116,7 +117,7 @@ ek AS (
                               * (q.embedding[i]::DOUBLE - e.embedding[i]::DOUBLE))) AS d2
       FROM embeddings q, embeddings e))
   WHERE rank <= 3),
-eh AS (SELECT ek.*, d.text, d.source FROM ek JOIN documents d ON d.doc_id = ek.vec_id)"""
+eh AS (SELECT ek.*, d.text, d.source FROM ek LEFT JOIN documents d ON d.doc_id = ek.vec_id)"""
 
 
 def _strip_sql(x: str) -> str:
@@ -182,13 +183,15 @@ def q_chunk_invariants(spark, sf_dir):
 
 
 @register("corpus_cap", """
-SELECT doc_id, source, n_chars, 1 AS n_meta FROM documents ORDER BY source, doc_id LIMIT 500
+SELECT doc_id, source, n_chars, 1 AS n_meta, row_number() OVER (ORDER BY source, doc_id) - 1 AS position,
+       row_number() OVER (ORDER BY source, doc_id) <= 500 AS within_cap
+FROM documents
 """)
 def q_corpus_cap(spark, sf_dir):
     docs = load_table(spark, sf_dir, "documents").withColumn("metadata", F.lit(None).cast("map<string,string>"))
     docs = default_metadata(docs).withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("lang"), F.col("lang"))))
     return cap_chunks(docs, 500, ("source", "doc_id")).select(
-        "doc_id", "source", "n_chars", F.size("metadata").alias("n_meta"))
+        "doc_id", "source", "n_chars", F.size("metadata").alias("n_meta"), "position", "within_cap")
 
 
 @register("source_report", f"""
@@ -196,7 +199,7 @@ WITH corpus AS (
   SELECT doc_id, source, 'text' AS file_type, text FROM documents
   UNION ALL
   SELECT page_id, url, 'html', {sql_html_to_text('html')} FROM pages)
-SELECT file_type, count(*) AS n_documents, count(DISTINCT source) AS n_sources,
+SELECT file_type, count(*) AS n_documents, count(DISTINCT source) AS n_files,
        sum(length(text))::BIGINT AS n_chars
 FROM corpus GROUP BY ROLLUP (file_type)
 """)
@@ -207,9 +210,7 @@ def q_source_report(spark, sf_dir):
         "doc_id", "source", F.lit("text").alias("file_type"), "text")
     pages = pages_to_documents(load_table(spark, sf_dir, "pages")).select("doc_id", "source", "file_type", "text")
     corpus = docs.unionByName(pages, allowMissingColumns=True)
-    return corpus.rollup("file_type").agg(
-        F.count("*").alias("n_documents"), F.count_distinct("source").alias("n_sources"),
-        F.sum(F.length("text")).cast("bigint").alias("n_chars"))
+    return load_report(corpus, "text")
 
 
 @register("html_text", f"""
@@ -261,14 +262,14 @@ def _emb_hits(spark, sf_dir):
 
 
 @register("context_joined", "WITH " + _EMB_KNN.lstrip() + """
-SELECT qid, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM eh GROUP BY qid
+SELECT qid, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY rank), '') AS context FROM eh GROUP BY qid
 """)
 def q_context_joined(spark, sf_dir):
     return context_joined(_emb_hits(spark, sf_dir))
 
 
 @register("context_numbered", "WITH " + _EMB_KNN.lstrip() + """
-SELECT qid, string_agg('[Document ' || rank || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
+SELECT qid, string_agg('[Document ' || rank || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) AS context
 FROM eh GROUP BY qid
 """)
 def q_context_numbered(spark, sf_dir):
@@ -290,8 +291,8 @@ FROM eh
 def q_answer_sources(spark, sf_dir):
     h = _emb_hits(spark, sf_dir).withColumnRenamed("source", "filename")
     s = sources(h, "qid", "rank", "filename", "score", "rerank_score")
-    return s.select("qid", F.posexplode("sources").alias("pos", "s")).select(
-        "qid", (F.col("pos") + 1).cast("int").alias("pos"), F.col("s.filename").alias("filename"),
+    return s.select("qid", F.explode("sources").alias("s")).select(
+        "qid", F.col("s.rank").cast("int").alias("pos"), F.col("s.filename").alias("filename"),
         F.round("s.score", R).alias("score"), F.col("s.rerank_score").alias("rerank_score"))
 
 

@@ -40,14 +40,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     An already active checkpoint folder is kept as is (setting it again
     would nest a new sub-folder each time).  Otherwise ``spark.checkpoint.dir``
-    is read from the session; only when that is unset too (local tests) a
-    scratch folder is created."""
+    is read from the session; only when that is unset too a scratch folder is
+    created, and only on a local master: on a cluster the executors would not
+    see it, so there the setting is required."""
     sc = spark.sparkContext
     active = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if active:
         return active
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -60,14 +63,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(p: str) -> bool:
-    return "://" not in p or p.startswith("file:")
-
-
 def path_exists(spark: SparkSession, p: str) -> bool:
-    """Existence check through the Hadoop FileSystem (works for any scheme)."""
-    if is_local_path(p):
-        return os.path.exists(p.replace("file://", "").replace("file:", ""))
+    """Existence check through the Hadoop FileSystem of the path (a path
+    without scheme belongs to the default file system, as for Spark)."""
     jvm = spark._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(p)
     fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -79,8 +77,11 @@ def spread(df, factor: int = 1):
     partitions than the cluster has cores (one big file with few row
     groups).  On a cluster reading many files this is a no-op: the scan
     already has far more splits than cores.  Used before CPU-heavy row-local
-    text work (tokenising, chunking, hashing)."""
+    text work (tokenising, chunking, hashing).  A plan that shuffles is left
+    as it is: counting its partitions would run it."""
     slots = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return df
     if df.rdd.getNumPartitions() < slots:
         return df.repartition(slots)
     return df

@@ -135,6 +135,7 @@ def test_index_stats_additive_over_appends(spark, tmpdir_fresh):
     build_and_write_index(a, path, mode="overwrite", id_cols=("doc_id",))
     build_and_write_index(b, path, mode="append", id_cols=("doc_id",))
     chunks = spark.read.parquet(f"{path}/chunks")
+    assert set(chunks.columns) >= {"batch", "chunk_id"}
     terms, stats = read_term_stats(spark, path)
     t_all, s_all = term_stats(chunks, "chunk_id", "text")
     got = {r.term: r.df for r in terms.groupBy("term").agg(F.sum("df").alias("df")).collect()}
