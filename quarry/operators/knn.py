@@ -15,13 +15,19 @@ Three physical plans, chosen by measured size, never by hope:
   streams through ``mapInPandas``, each task keeps a running top-k per
   question, and only ``(question, hit, d2)`` triples (questions x tasks x k)
   are shuffled to the final per-question window.  The corpus is never moved.
-* ``grid``             - neither side fits: both are hash-salted into blocks
-  of bounded size, ``(qblock, vblock)``; the question blocks are replicated
-  over the vector blocks of their key and vice versa, and each cell is a
-  bounded ``cogroup``.  The number of blocks per key comes from per-key counts
-  so a hot key (one filter value or one IVF list holding a third of the rows)
-  is split into many cells instead of landing in one task.  No cross join:
-  cells are an equi-join on ``(keys, qblock, vblock)``.
+* ``grid``             - neither side fits and there are equality keys: both
+  sides are hash-salted into blocks of bounded size inside a key, and each
+  cell ``(keys, qblock, vblock)`` is a bounded ``cogroup``.  The number of
+  blocks per key comes from per-key counts, so a hot key (one filter value or
+  one IVF list holding a third of the rows) is split into many cells instead
+  of landing in one task.
+* ``pivot``            - neither side fits and there is no key: vectors are
+  assigned to their nearest pivot, a question first meets the lists that hold
+  its first k vectors, then only those whose lower bound (distance to the
+  pivot less the list's radius) does not pass its k-th distance.  Both steps
+  are the keyed grid on the list; the result is exact.
+
+A forced broadcast plan over the size limit raises.
 
 Inside a task the distances use |q|^2 + |x|^2 - 2 q.x as a matrix product to
 pre-select every candidate within a rounding bound of the k-th value (exact
@@ -37,9 +43,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from quarry.session import cut
+
 DEFAULT_BROADCAST_BYTES = 64 << 20
 MAX_PRUNE_KEYS = 10_000
 MAX_BLOCK_ELEMENTS = 5_000_000
+MAX_PIVOTS = 512
 
 
 # --------------------------------------------------------------------------- #
@@ -132,14 +141,21 @@ def _ranked(pairs: DataFrame, q_id: str, c_id: str, per_row_k: bool, kmax: int)
     return out.select(q_id, "rank", c_id, "d2")
 
 
+def _fits(df: DataFrame, dim: int, broadcast_bytes: int) -> bool:
+    """Counted rows times the width of a row: vector, id and keys."""
+    keys = 64 * (len(df.columns) - 1)
+    return df.count() * (dim * 8 + keys) <= broadcast_bytes
+
+
 def choose_strategy(q: DataFrame, c: DataFrame, c_vec: str, broadcast_bytes: int,
-                    allow_index_broadcast: bool = True) -> str:
+                    allow_index_broadcast: bool = True, on: Sequence[str] = ()) -> str:
     """Pick the plan from measured row counts and vector width."""
     dim = _vector_dim(c, c_vec) or 1
-    row_bytes = dim * 8 + 64
-    if allow_index_broadcast and c.count() * row_bytes <= broadcast_bytes:
+    if allow_index_broadcast and _fits(c, dim, broadcast_bytes):
         return "index_broadcast"
-    return "query_broadcast" if q.count() * row_bytes <= broadcast_bytes else "grid"
+    if _fits(q, dim, broadcast_bytes):
+        return "query_broadcast"
+    return "grid" if on else "pivot"
 
 
 # --------------------------------------------------------------------------- #
@@ -186,12 +202,20 @@ def knn_join(questions: DataFrame, corpus: DataFrame, k: int = 3, *,
     ctype = corpus.schema[c_id].dataType
 
     if strategy == "auto":
-        strategy = choose_strategy(q, c, c_vec, broadcast_bytes, unique_questions)
+        strategy = choose_strategy(q, c, c_vec, broadcast_bytes, unique_questions, on)
+    elif strategy in ("index_broadcast", "query_broadcast"):
+        side = c if strategy == "index_broadcast" else q
+        if not _fits(side, _vector_dim(c, c_vec) or 1, broadcast_bytes):
+            raise ValueError(f"{strategy}: the side to broadcast is larger than {broadcast_bytes} bytes")
+    elif strategy == "grid" and not on:
+        strategy = "pivot"
 
     if strategy == "index_broadcast":
         return _index_broadcast(spark, q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype)
     if strategy == "query_broadcast":
         pairs = _query_broadcast(spark, q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype)
+    elif strategy == "pivot":
+        pairs = _pivot(q, c, q_id, q_vec, c_id, c_vec, int(kmax), q_block, c_block)
     elif strategy == "grid":
         pairs = _grid(q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype, q_block, c_block)
     else:
@@ -265,21 +289,14 @@ def _query_broadcast(spark, q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype):
 
 
 def _grid(q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype, q_block, c_block):
-    if on:
-        qn = q.groupBy(*on).agg(F.count("*").alias("_nq"))
-        cn = c.groupBy(*on).agg(F.count("*").alias("_nc"))
-        stats = qn.join(cn, on).select(
-            *on,
-            F.greatest(F.lit(1), F.ceil(F.col("_nq") / q_block)).cast("int").alias("_B"),
-            F.greatest(F.lit(1), F.ceil(F.col("_nc") / c_block)).cast("int").alias("_S"))
-        qx = q.join(stats, on)
-        cx = c.join(stats, on)
-    else:
-        nq, nc = q.count(), c.count()
-        B = max(1, math.ceil(nq / q_block))
-        S = max(1, math.ceil(nc / c_block))
-        qx = q.withColumn("_B", F.lit(B)).withColumn("_S", F.lit(S))
-        cx = c.withColumn("_B", F.lit(B)).withColumn("_S", F.lit(S))
+    qn = q.groupBy(*on).agg(F.count("*").alias("_nq"))
+    cn = c.groupBy(*on).agg(F.count("*").alias("_nc"))
+    stats = qn.join(cn, on).select(
+        *on,
+        F.greatest(F.lit(1), F.ceil(F.col("_nq") / q_block)).cast("int").alias("_B"),
+        F.greatest(F.lit(1), F.ceil(F.col("_nc") / c_block)).cast("int").alias("_S"))
+    qx = q.join(stats, on)
+    cx = c.join(stats, on)
     # questions: own qblock, replicated over the vector blocks of their key
     qx = (qx.withColumn("_qb", F.pmod(F.xxhash64(F.col(q_id)), F.col("_B")).cast("int"))
             .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.col("_S") - 1)))
@@ -302,6 +319,43 @@ def _grid(q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype, q_block, c_block):
               .applyInPandas(cell, _pairs_schema(q_id, c_id, qtype, ctype)))
 
 
+def _pivot(q, c, q_id, q_vec, c_id, c_vec, kmax, q_block, c_block):
+    """Exact kNN without keys by pivot bounds; (q_id, c_id, d2, _k) pairs that
+    hold every question's k nearest."""
+    spark = c.sparkSession
+    n_lists = max(1, min(MAX_PIVOTS, math.ceil(math.sqrt(c.count()))))
+    # any vectors do as pivots, the bounds make the result exact
+    rows = c.orderBy(F.xxhash64(c_id), c_id).limit(n_lists).select(c_vec).collect()
+    pivots = spark.createDataFrame([(i, [float(x) for x in r[0]]) for i, r in enumerate(rows)], "_list int, _pivot array<double>")
+    if not rows:
+        return q.select(q_id, F.lit(None).cast(c.schema[c_id].dataType).alias(c_id), F.lit(0.0).alias("d2"), "_k").where(F.lit(False))
+
+    def to_pivots(df, i, v, k):
+        return knn_join(df.select(i, v), pivots, k, q_id=i, q_vec=v, c_id="_list", c_vec="_pivot", strategy="index_broadcast")
+
+    near = to_pivots(c, c_id, c_vec, 1).select(c_id, "_list", F.sqrt("d2").alias("_d"))
+    listed = cut(c.join(near, c_id))
+    lists = listed.groupBy("_list").agg(F.count("*").alias("_n"), F.max("_d").alias("_radius"))
+    order = Window.partitionBy(q_id).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # n_lists rows a question
+    bound = F.greatest(F.lit(0.0), F.sqrt("d2") - F.col("_radius"))
+    plan = cut(to_pivots(q, q_id, q_vec, n_lists).join(F.broadcast(lists), "_list")
+               .withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+               .select(q_id, "_list", "_before", bound.alias("_low")).join(q.select(q_id, "_k"), q_id))
+    first = F.col("_before") < F.col("_k")
+
+    def meet(probes):
+        qx = q.join(probes.select(q_id, "_list"), q_id)
+        return knn_join(qx, listed.select(c_id, c_vec, "_list"), kmax, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec, k_col="_k",
+                        on=["_list"], strategy="grid", q_block=q_block, c_block=c_block, unique_questions=False)
+
+    got = cut(meet(plan.where(first)).join(q.select(q_id, "_k"), q_id))
+    kth = got.where(F.col("rank") == F.col("_k")).select(q_id, F.sqrt("d2").alias("_kth"))
+    slack = 1e-6  # rounding of the square roots; wider bounds only cost work
+    more = plan.where(~first).join(kth, q_id, "left").where(F.col("_kth").isNull() | (F.col("_low") <= F.col("_kth") * (1 + slack) + slack))
+    rest = meet(more).join(q.select(q_id, "_k"), q_id)
+    return got.unionByName(rest).select(q_id, c_id, "d2", "_k")
+
+
 def with_scores(hits: DataFrame, min_score: float | None = None) -> DataFrame:
     """The compatibility score ``1 - d2`` (what an L2 index reports as
     '1 - distance', i.e. 2 cos - 1 on unit vectors, Q3) and the cosine.
@@ -317,22 +371,19 @@ def with_scores(hits: DataFrame, min_score: float | None = None) -> DataFrame:
 # --------------------------------------------------------------------------- #
 
 def build_ivf(corpus: DataFrame, n_lists: int, *, c_id: str = "cid", c_vec: str = "embedding",
-              seed: int = 7, max_iter: int = 20, train_fraction: float | None = None):
+              seed: int = 7, max_iter: int = 20):
     """Train ``n_lists`` centroids with ``pyspark.ml`` KMeans and assign every
     corpus vector to its nearest centroid.
 
     Returns ``(centroids, assigned)``: centroids(list_id INT, centroid
     ARRAY<DOUBLE>) - small, ``n_lists`` rows - and the corpus with a
-    ``list_id`` column.  Training may use a sample (``train_fraction``); the
-    assignment always covers every vector.
+    ``list_id`` column.  Training and assignment cover every vector.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     spark = corpus.sparkSession
     train = corpus.select(array_to_vector(F.col(c_vec).cast("array<double>")).alias("features"))
-    if train_fraction:
-        train = train.sample(fraction=train_fraction, seed=seed)
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="features").fit(train)
     centers = [list(map(float, v)) for v in model.clusterCenters()]
     centroids = spark.createDataFrame(
@@ -349,14 +400,25 @@ def ivf_knn_join(questions: DataFrame, centroids: DataFrame, assigned: DataFrame
                  nprobe: int = 1, *, q_id: str = "qid", q_vec: str = "q_vec",
                  c_id: str = "cid", c_vec: str = "embedding", strategy: str = "auto",
                  **kw) -> DataFrame:
-    """Probe the ``nprobe`` nearest lists of each question, then an exact
-    top-k inside those lists as a join on ``list_id`` (hot lists are split
-    by the grid plan).  ``nprobe = n_lists`` is exact."""
-    probes = knn_join(questions.select(q_id, q_vec), centroids, nprobe, q_id=q_id, q_vec=q_vec,
-                      c_id="list_id", c_vec="centroid", strategy="index_broadcast")
-    extra = ([kw["k_col"]] if kw.get("k_col") else []) + list(kw.get("on", ()))
-    qx = questions.select(q_id, q_vec, *extra).join(probes.select(q_id, "list_id"), q_id)
-    on_cols = ["list_id", *kw.pop("on", ())]
+    """Probe the ``nprobe`` nearest lists of each question, and further ones
+    in order while those hold fewer than its k vectors (after its filters),
+    then an exact top-k inside those lists as a join on ``list_id`` (hot lists
+    are split by the grid plan).  So a question gets k hits whenever the corpus
+    has k.  ``nprobe = n_lists`` is exact."""
+    on = list(kw.pop("on", ()))
+    k_col = kw.get("k_col")
+    n_lists = centroids.count()
+    probes = knn_join(questions.select(q_id, q_vec), centroids, n_lists, q_id=q_id, q_vec=q_vec,
+                      c_id="list_id", c_vec="centroid", strategy="index_broadcast").select(q_id, "list_id", "rank")
+    extra = ([k_col] if k_col else []) + on
+    held = assigned.groupBy("list_id", *on).agg(F.count("*").alias("_held"))
+    want = F.coalesce(F.col(k_col).cast("int"), F.lit(k)) if k_col else F.lit(k)
+    before = Window.partitionBy(q_id).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # n_lists rows a question
+    qx = (questions.select(q_id, q_vec, *extra).join(probes, q_id).join(held, ["list_id", *on])
+          .withColumn("_before", F.coalesce(F.sum("_held").over(before), F.lit(0)))
+          .where((F.col("rank") <= nprobe) | (F.col("_before") < want))
+          .select(q_id, q_vec, *extra, "list_id"))
+    on_cols = ["list_id", *on]
     # one row per (question, probed list); the final window merges the lists
     return knn_join(qx, assigned.select(c_id, c_vec, *on_cols), k, q_id=q_id, q_vec=q_vec,
                     c_id=c_id, c_vec=c_vec, on=on_cols, strategy=strategy,

@@ -113,9 +113,39 @@ def test_broadcast_limit_falls_back_to_grid(spark):
     cc = e.select("vec_id", "embedding")
     assert choose_strategy(qq, cc, "embedding", 64 << 20) == "index_broadcast"
     assert choose_strategy(qq, cc, "embedding", 64 << 20, allow_index_broadcast=False) == "query_broadcast"
-    assert choose_strategy(qq, cc, "embedding", 1000) == "grid"
+    assert choose_strategy(qq, cc, "embedding", 1000) == "pivot"
+    assert choose_strategy(qq, cc, "embedding", 1000, on=["label"]) == "grid"
+    for s in ("index_broadcast", "query_broadcast"):
+        with pytest.raises(ValueError, match="larger"):
+            knn_join(q, e, 3, q_id="qid", q_vec="q_vec", c_id="vec_id", strategy=s, broadcast_bytes=1000)
     out = knn_join(q, e, 3, q_id="qid", q_vec="q_vec", c_id="vec_id", broadcast_bytes=1000)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan
     base = _rows(knn_join(q, e, 3, q_id="qid", q_vec="q_vec", c_id="vec_id"))
     assert _rows(out) == base
+
+
+def test_pivot_bounds_prune_and_stay_exact(spark):
+    """Clustered vectors: exact rows, and a question meets few of the lists."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8)) * 20
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=8)]) for i in range(600)]
+    c = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(10_000 + i, v, i % 4 + 1) for i, v in rows[::7]], "qid long, q_vec array<double>, k int")
+    for options in ({}, {"k_col": "k"}):
+        base = _rows(knn_join(q, c, 3, c_id="vec_id", strategy="index_broadcast", **options))
+        assert _rows(knn_join(q, c, 3, c_id="vec_id", strategy="pivot", q_block=16, c_block=32, **options)) == base
+    few = spark.createDataFrame(rows[:2], "vec_id long, embedding array<double>")
+    assert knn_join(q, few, 5, c_id="vec_id", strategy="pivot").count() == 2 * q.count()
+
+
+def test_ivf_probes_until_k(spark):
+    q, e = _tables(spark)
+    cents, assigned = build_ivf(e, 12, c_id="vec_id", c_vec="embedding", seed=2)
+    assigned = assigned.withColumn("rare", F.col("vec_id") % 100)
+    qq = q.where("qid < 40").withColumn("rare", F.col("qid") % 100)
+    held = {r.rare: r["count"] for r in assigned.groupBy("rare").count().collect()}
+    got = {}
+    for r in ivf_knn_join(qq, cents, assigned, 4, 1, q_id="qid", q_vec="q_vec", c_id="vec_id", on=["rare"]).collect():
+        got[r.qid] = got.get(r.qid, 0) + 1
+    assert got == {i: min(4, held[i % 100]) for i in range(40)}
