@@ -1,8 +1,8 @@
 """Packing by minimum bin slack.
 
 Documents are tokenised where they are read and cut into pieces of
-``capacity`` tokens; only the remainder of a document (shorter than that) has
-to be packed.  What matters for packing is the number of remainders of each
+``capacity`` tokens; only the remainder of a document (shorter than that, cut
+again if longer than half) has to be packed.  What matters for packing is the number of remainders of each
 length, a table of fewer than ``capacity`` rows whatever the corpus.  On that
 table the slack of one window after the other is minimised: the longest
 remaining length is set, then a subset-sum dynamic programme over a bitset
@@ -65,6 +65,16 @@ def encoder(vocabulary: str = VOCABULARY):
     return encode
 
 
+def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
+    """Whole windows, then a remainder; one longer than half a window is cut
+    there, so that it needs no partner of one exact length."""
+    half = capacity // 2
+    edges = [*range(0, n, capacity)]
+    if half and n - edges[-1] > half and n - edges[-1] < capacity:
+        edges.append(edges[-1] + half)
+    return list(zip(edges, [*edges[1:], n]))
+
+
 PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
          "part long, nth long, ids array<int>")
 
@@ -79,8 +89,8 @@ def _cut(capacity: int, vocabulary: str, keep_ids: bool):
                 rows = []
                 for d, t in zip(doc[i:i + 128], text[i:i + 128].to_pylist()):
                     ids = np.array([*encode(t or ""), END_ID], "<u4")
-                    for s in range(0, len(ids), capacity):
-                        p = ids[s:s + capacity]
+                    for s, e in cuts(len(ids), capacity):
+                        p = ids[s:e]
                         rows.append((d, s, len(p), zlib.crc32(p.tobytes()), len(ids), part, seen[len(p)],
                                      p.astype(np.int32) if keep_ids else None))
                         seen[len(p)] += 1

@@ -37,6 +37,9 @@ def joined(spans: Column, kinds: tuple[str, ...]) -> Column:
 
 def digest(found: DataFrame, base: tuple[str, ...], added: tuple[str, ...]) -> DataFrame:
     """doc_id, n_<kind> of the base kinds, base_sha256, spans."""
-    n = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    n = [count(k) for k in base]
     return found.select("doc_id", *n, F.sha2(joined(F.col("spans"), base), 256).alias("base_sha256"),
                         joined(F.col("spans"), base + added).alias("spans"))
