@@ -23,8 +23,9 @@ ASCII white space at their ends, blank lines are left alone).
 Only DataFrame and SQL functions are used.
 
 Scale.  Steps 1 and 2 shuffle hashes, not texts.  The dropped lines' positions
-are joined to the documents at the end (the one shuffle that carries text, or
-none if the list is small).
+are joined to the documents at the end, the one shuffle that carries all text
+(and a second one in step 2 where the documents that hold candidates are too
+many to be broadcast).
 
 Defined cases: null texts stay null, empty texts empty; repeated rows are
 copies (the first keeps its lines); a row that loses all its lines keeps its
@@ -218,7 +219,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                          F.least("ord_a", "ord_b").alias("keep"), "edits")
     near = later.groupBy("h1", "h2").agg(F.min(F.struct("keep", "edits")).alias("near"))
     rules = written(distinct.select("h1", "h2", "ord", "n").join(near, ["h1", "h2"], "left").where("n > 1 or near is not null"), "rules")
-    hit = placed.join(sized(rules, 160), ["h1", "h2"])
+    hit = placed.join(rules.hint("merge"), ["h1", "h2"])
     first = (F.col("uid") == F.col("ord.uid")) & (F.col("line_no") == F.col("ord.line_no"))
     keep = F.coalesce("near.keep", "ord")
     drops = (hit.where(~first | F.col("near").isNotNull())
@@ -239,9 +240,9 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: uid, doc_id, n_lines (not blank), n_copies,
     n_near, drops, text (without the dropped lines)."""
     src, _, drops = dropped_lines(docs, id_col, text_col, **options)
-    joined = src.join(sized(drops, 300), "uid", "left")
+    joined = src.join(drops.hint("merge"), "uid", "left")
     gone = lambda f: F.coalesce(F.size(F.filter("drops", f)), F.lit(0)).cast("long")
-    n = F.size(F.filter(_lines(F.coalesce("text", F.lit(""))), lambda x: x != "")).cast("long")
+    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\x0b\x0c\r\n][^\n]*")).cast("long")
     return joined.select("uid", "doc_id", n.alias("n_lines"), gone(lambda d: d["edits"] == 0).alias("n_copies"),
                          gone(lambda d: d["edits"] > 0).alias("n_near"), "drops", _kept_text(F.col("text"), F.col("drops")).alias("text"))
 
@@ -254,7 +255,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", chars_col: str | None =
     src, _, drops = dropped_lines(docs, text_col=text_col, **options)
     del src
     mark = fresh(docs, "q_drops")
-    joined = with_uid(docs, uid).join(sized(drops.select(F.col("uid").alias(uid), F.col("drops").alias(mark)), 300), uid, "left")
+    joined = with_uid(docs, uid).join(drops.select(F.col("uid").alias(uid), F.col("drops").alias(mark)).hint("merge"), uid, "left")
     text = _kept_text(F.col(text_col), F.col(mark))
     changed = joined.withColumn(text_col, text)
     if chars_col and chars_col in docs.columns:
