@@ -17,16 +17,23 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _either(x: np.ndarray, small: str, large: str) -> pd.Series:
+    """Values below 1 times 1000 in one form, others in the other; NaN is NULL."""
+    out = np.where(x < 1, np.char.mod(small, x * 1000), np.char.mod(large, x)).astype(object)
+    out[np.isnan(x)] = None
+    return pd.Series(out)
+
+
 @F.pandas_udf(T.StringType())
 def _fmt_ms(v: pd.Series) -> pd.Series:
     x = v.to_numpy(dtype=np.float64, na_value=np.nan)
-    return pd.Series([None if np.isnan(m) else (f"{m * 1000:.0f}μs" if m < 1 else f"{m:.1f}ms") for m in x])
+    return _either(x, "%.0fμs", "%.1fms")
 
 
 @F.pandas_udf(T.StringType())
 def _fmt_s(v: pd.Series) -> pd.Series:
     x = v.to_numpy(dtype=np.float64, na_value=np.nan)
-    return pd.Series([None if np.isnan(s) else (f"{s * 1000:.2f} ms" if s < 1 else f"{s:.2f} sec") for s in x])
+    return _either(x, "%.2f ms", "%.2f sec")
 
 
 def format_ms(ms) -> Column:
