@@ -3,7 +3,8 @@
 Tumbling (or sliding) event-time windows with a watermark; the output is
 written in update mode through ``foreachBatch`` as (batch_id, rows); the
 current value of a window is its row from the latest batch that updated it.
-State for windows older than the watermark is dropped.  Event times are
+State for windows older than the watermark is dropped; rows that come later
+than that are counted by ``quarry.streaming.common.late_rows``.  Event times are
 wall-clock TIMESTAMP_NTZ read as UTC instants (``quarry.functions.time``),
 so windows do not move with the session time zone."""
 from __future__ import annotations

@@ -5,8 +5,9 @@ Within a micro-batch a key's requests are processed in (ts, id) order; a
 request is a hit when ts < last_set + TTL.  An event-time timeout at
 last_set + TTL drops the state once the watermark passes it, so state stays
 bounded by the keys active within one TTL.  Requests later than the
-watermark are dropped by Spark before they reach the state (late data); on
-ordered input the result equals the batch replay (H8)."""
+watermark are dropped by Spark before they reach the state (late data);
+``quarry.streaming.common.late_rows`` counts them.  On ordered input the
+result equals the batch replay (H8)."""
 from __future__ import annotations
 
 import numpy as np
@@ -42,12 +43,14 @@ def ttl_cache_stream(stream: DataFrame, key_col: str, ts_col: str, id_col: str,
         pdf = pd.concat(outs, ignore_index=True)
         us = pdf["us"].to_numpy(np.int64)
         order = np.lexsort((pdf["id"].to_numpy(), us))
-        hit = np.zeros(len(us), dtype=bool)
-        for j in order:
-            if last is not None and us[j] < last + ttl_us:
-                hit[j] = True
-            else:
-                last = int(us[j])
+        times = us[order]
+        hit = np.ones(len(us), dtype=bool)
+        # from miss to miss: everything between is a hit
+        i = 0 if last is None else int(np.searchsorted(times, last + ttl_us, side="left"))
+        while i < len(times):
+            hit[order[i]] = False
+            last = int(times[i])
+            i = int(np.searchsorted(times, last + ttl_us, side="left"))
         state.update((last,))
         state.setTimeoutTimestamp(int((last + ttl_us) // 1000))
         yield pd.DataFrame({"k": pdf["k"].to_numpy(), "id": pdf["id"].to_numpy(), "hit": hit})
