@@ -123,6 +123,11 @@ def _distance(pairs: DataFrame, tau: int) -> DataFrame:
     return pairs.withColumn("__pair", state).withColumn("edits", F.expr(fold)).drop("__pair")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also inside its lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANK)))
 
@@ -172,8 +177,8 @@ def near_links(src: DataFrame, distinct: DataFrame, tau: int = TAU, hot: int = H
               .groupBy("uid").agg(F.collect_list(F.struct("ord", "h1", "h2")).alias("w")))  # at most a document's lines
     wanted = written(wanted, "wanted")
     got = (src.select("uid", "text").join(sized(wanted, 400), "uid")
-           .select(F.explode(F.transform("w", lambda x: F.struct(x["ord"].alias("ord"), x["h1"].alias("h1"), x["h2"].alias("h2"),
-                                                                 F.get(F.split("text", "\n", -1), x["ord"]["line_no"]).alias("line")))).alias("r"))
+           .select(F.explode(_once(F.split("text", "\n", -1), lambda lines: F.transform("w", lambda x: F.struct(
+               x["ord"].alias("ord"), x["h1"].alias("h1"), x["h2"].alias("h2"), F.get(lines, x["ord"]["line_no"]).alias("line"))))).alias("r"))
            .select("r.h1", "r.h2", "r.ord", F.btrim("r.line", F.lit(BLANK)).alias("line")))
     size = F.char_length("line")
     own, probe = segment_keys(F.col("line"), size, tau)
@@ -230,10 +235,22 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _kept_text(text: Column, drops: Column) -> Column:
-    lines = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(drops, lambda d: d["line_no"]))
-    return F.when(drops.isNull() | text.isNull(), text).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    def kept(lines):
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(drops, lambda d: d["line_no"]))
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    return F.when(drops.isNull() | text.isNull(), text).otherwise(_once(F.split(text, "\n", -1), kept))
+
+
+def _line_count(text: Column) -> Column:
+    """Lines that are not blank: newlines and one more, unless a line starts
+    with white space or is empty; those texts take the regular expression."""
+    odd = F.substring(text, 1, 1).isin(*BLANK)
+    for c in "\n" + BLANK:
+        odd = odd | F.contains(text, F.lit("\n" + c))
+    odd = odd | text.endswith("\n") | text.startswith("\n") | (text == "")
+    return F.when(odd, F.regexp_count(text, F.lit(r"[^ \t\x0b\x0c\r\n][^\n]*"))).otherwise(
+        F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -242,7 +259,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src, _, drops = dropped_lines(docs, id_col, text_col, **options)
     joined = src.join(drops.hint("merge"), "uid", "left")
     gone = lambda f: F.coalesce(F.size(F.filter("drops", f)), F.lit(0)).cast("long")
-    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\x0b\x0c\r\n][^\n]*")).cast("long")
+    n = _line_count(F.coalesce("text", F.lit(""))).cast("long")
     return joined.select("uid", "doc_id", n.alias("n_lines"), gone(lambda d: d["edits"] == 0).alias("n_copies"),
                          gone(lambda d: d["edits"] > 0).alias("n_near"), "drops", _kept_text(F.col("text"), F.col("drops")).alias("text"))
 
