@@ -28,7 +28,7 @@ from quarry.llm.common import fresh, sized, with_uid, written
 
 BLOCK_DOCS = 16
 PERIOD = 1000
-BUCKET_DOCS = 50_000
+BUCKET_DOCS = 5_000
 
 
 def root_weights(counts: DataFrame, period: int = PERIOD) -> DataFrame:
