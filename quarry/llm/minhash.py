@@ -283,8 +283,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = signed.where("n > 0").select("uid", "doc_id", "n", "key").join(nodes.select("key", "node"), "key").drop("key")
     if label is not None:
         row = row.join(label, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
-    top = row.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("top"))
-    grouped = (row.join(top, "node")
+    # written, so that the join has two plain sides and a large component is split
+    top = written(row.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("top")), "tops")
+    grouped = (row.join(top.hint("merge"), "node")
                .select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("top.doc_id").alias("component_id"),
                        (F.col("uid") == F.col("top.uid")).alias("kept")))
     alone = signed.where("n = 0").select("uid", "doc_id", F.col("n").alias("n_shingles"),
