@@ -3,9 +3,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(?=/?[A-Za-z])[^<]*\Z""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/<>]*)((?:"[^"]*"|'[^']*'|[^<>])*+)>|<[!?][^>]*(?:>|\Z)|<(?=/?[A-Za-z])[^<]*\Z""", re.S)
 _ATTR = re.compile(r"""([A-Za-z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 # fixed values: HTML element classes
@@ -33,6 +34,7 @@ def tree(source: str) -> list[Node]:
     are left out, a tag that the page's end cuts off is markup."""
     nodes, stack = [Node("html", "", -1)], [0]
     open_tags: list[str] = ["html"]
+    is_open: Counter = Counter()
     text: list[str] = []
     links, in_link, hidden, place, pos = 0, 0, 0, 0, 0
 
@@ -56,6 +58,7 @@ def tree(source: str) -> list[Node]:
 
     def close(to: int):
         flush()
+        is_open.subtract(open_tags[to:])
         del stack[to:]
         del open_tags[to:]
 
@@ -67,7 +70,7 @@ def tree(source: str) -> list[Node]:
             continue
         name = name.lower()
         if m.group(1):
-            if name in BLOCKS:
+            if name in BLOCKS and is_open[name]:
                 for i in range(len(open_tags) - 1, 0, -1):
                     if open_tags[i] == name:
                         close(i)
@@ -99,6 +102,7 @@ def tree(source: str) -> list[Node]:
             nodes.append(Node(name, words, stack[-1]))
             stack.append(len(nodes) - 1)
             open_tags.append(name)
+            is_open[name] += 1
             in_link = 0
         elif name == "a":
             in_link += 1

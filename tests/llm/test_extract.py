@@ -69,6 +69,17 @@ def test_odd_markup(model):
     assert X.main_text(f"<body><article><p>{body}</p><p cl", model) == body.strip()
 
 
+def test_linear_time(model):
+    import time
+    for part in ("<a", "<a '", "<div>", "</div>", "<li>x", "&amp", "<p>", "<!--", "<", "<b <i"):
+        start = time.time()
+        X.main_text(part * 100_000, model)
+        assert time.time() - start < 20, part
+    start = time.time()
+    X.main_text("<div>" * 50_000 + "</p>" * 50_000, model)
+    assert time.time() - start < 20
+
+
 def test_odd_rows(spark, table, model):
     t = table([(1, None, None, "c", 5), (None, "u", "", None, None), (2, "u", "<article><p>" + "long text, " * 9 + "</p></article>", None, 1)] * 2, SCHEMA)
     got = X.extract(t, model).collect()
