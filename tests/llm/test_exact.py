@@ -22,7 +22,7 @@ def check(docs, **options):
 
 def test_odd_rows(odd, empty):
     check(odd)
-    check(odd, block=7)
+    check(odd, block=700)
     assert exact_dedup(empty).count() == 0
 
 
