@@ -69,6 +69,29 @@ def test_odd_markup(model):
     assert X.main_text(f"<body><article><p>{body}</p><p cl", model) == body.strip()
 
 
+def test_hidden_elements_left_open(model):
+    """Optional or missing end tags before the article hide nothing behind them."""
+    body = "Words of the article that go on, and on. " * 4
+    article = f"<article><p>{body}</p><p>{body}</p></article>"
+    want = f"{body.strip()} {body.strip()}"
+    for before in ("<body><form><select><option>A<option>B</select></form>", "<body><form><select><option>A<option>B</form>",
+                   "<html><head><title>t</title><meta charset=x><body>", "<head><title>t</title>", "<body><div><button>Menu</div>",
+                   "<body><button>Menu", "<body><nav><svg><path d=x></nav>", "<body><svg><path d=x>", "<body><object data=x>", "<body><canvas>",
+                   "<body><button>A<button>B</button>", "<body><datalist><option>A<option>B</datalist>", "<body><div><button>A</div><button>B</button>"):
+        assert X.main_text(f"{before}{article}</body>", model) == want, before
+    for inside in ("<select><option>A<option>B</select>", "<button><div>menu</button>", "<svg><foreignObject><div>x</div></foreignObject></svg>",
+                   "<object><object>a</object>b</object>", "<button>A <svg><text>b</svg> c</button>"):
+        assert X.main_text(f"<body><article><p>{body}</p>{inside}<p>{body}</p></article></body>", model) == want, inside
+
+
+def test_hidden_linear_time():
+    import time
+    for part in ("<button>", "<button><div>", "<option>", "<svg>", "<svg><p>", "</button>", "<head>", "<select><option>", "<object></div>"):
+        start = time.time()
+        tree(part * 50_000)
+        assert time.time() - start < 20, part
+
+
 def test_linear_time(model):
     import time
     for part in ("<a", "<a '", "<div>", "</div>", "<li>x", "&amp", "<p>", "<!--", "<", "<b <i"):
