@@ -7,7 +7,8 @@ drops it; context words within ``WINDOW`` code points before or behind raise
 it (``call``, ``tel``) or lower it (``order``, ``version``).  Added spans need
 ``THRESHOLD``; base spans always stay, with their score.
 
-Every pattern is linear in the text (runs are entered at their start only).
+An IBAN proposal takes following upper-case words along, so its end is
+settled by its country's length.  Every pattern is linear in the text (runs are entered at their start only).
 
 Defined cases: a null or empty text has no spans; repeated rows each give
 their spans; an empty table gives an empty result.
@@ -31,6 +32,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# fixed values: characters of an IBAN by country (ISO 13616 registry)
+IBAN_LENGTH = {c: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU"}.items() for c in codes.split()}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9-])")
 _ANY_DIGIT = re.compile(r"[0-9]")
@@ -67,6 +74,29 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_end(text: str, a: int, b: int) -> int | None:
+    """End of the IBAN at the start of a proposal, which may reach into the
+    words behind it: at its country's length, or, of an unlisted country, the
+    last end between groups for which mod 97 holds."""
+    spaces = [i for i in range(a, b) if text[i] == " "]
+    n = IBAN_LENGTH.get(text[a:a + 2])
+    for end in [b, *reversed(spaces)]:
+        if n in (None, end - a - sum(i < end for i in spaces)) and mod97(text[a:end]):
+            return end
+    return None
+
+
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Non-overlapping IBANs; a proposal is at most some 50 characters."""
+    out, pos = [], 0
+    while m := _IBAN.search(text, pos):
+        end = _iban_end(text, m.start(), m.end())
+        if end:
+            out.append((m.start(), end))
+        pos = end or m.start() + 1
+    return out
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping matches, read outwards from each @ sign."""
     out, done, at = [], 0, text.find("@")
@@ -110,7 +140,7 @@ def personal(text: str) -> list[Span]:
             for m in _PHONE.finditer(text):
                 if 10 <= sum("0" <= c <= "9" for c in m.group()) <= 15:
                     base.append(("phone", m.start(), m.end(), False))
-        added += [("iban", m.start(), m.end(), True) for m in _IBAN.finditer(text) if mod97(m.group())]
+        added += [("iban", a, b, True) for a, b in ibans(text)]
         added += [("ssn", m.start(), m.end(), False) for m in _SSN.finditer(text)]
         added += [("local_phone", m.start(), m.end(), False) for m in _LOCAL_PHONE.finditer(text)]
     out = [(k, a, b, _rate(k, text, a, b, c)) for k, a, b, c in base]

@@ -89,6 +89,18 @@ def test_personal_added():
     assert s["card"] == 1.0
 
 
+def test_iban_before_a_word():
+    """Upper-case words and other IBANs behind an IBAN are not part of it."""
+    f = lambda t: added(t, pii.personal, ("iban",))
+    for iban in ("BE68539007547034", "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "PL61109010140000071219812874",
+                 "SE45 5000 0000 0583 9825 7466", "CZ65 0800 0000 1920 0014 5399", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"):
+        for behind in ("", " EUR 50", " BIC CAIXESBB", " EURO", " TRANSFER", " A", " GB82 WEST 1234 5698 7654 32"):
+            want = [iban] + (["GB82 WEST 1234 5698 7654 32"] if "GB82" in behind else [])
+            assert f(f"IBAN {iban}{behind}") == want, (iban, behind)
+    assert f("IBAN REFN12 GB12 3456 7890 BE68 5390 0754 7034") == ["BE68 5390 0754 7034"]
+    assert f("IBAN BE68539007547035 EUR 50") == []
+
+
 def test_linear_time():
     import time
     for t in ("9" * 400_000, "1." * 200_000, "a." * 200_000 + "@", "password" * 50_000, "x=" * 100_000, "AKIA" * 100_000, "+1 " * 100_000, "GB82" * 80_000):
