@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 # Default histogram edges (seconds) of the metrics library the
 # reference uses, slow-query thresholds, token prices per 1K tokens.
@@ -92,6 +92,14 @@ def stage_split(log: DataFrame, stages: Sequence[str], total: str = "total_ms",
     return g.drop("_tot")
 
 
+def stage_split_long(log: DataFrame, stage: str = "stage", total: str = "total_ms", by=()) -> DataFrame:
+    """M6 for a log with a row per stage time: ``stage``, avg_ms and the
+    stage's share of all time, for every stage that occurs, null included."""
+    g = log.groupBy(*by, stage).agg(F.avg(total).alias("avg_ms"), F.sum(total).alias("_sum"))
+    # one row for each stage
+    return g.withColumn("share", F.col("_sum") / F.sum("_sum").over(Window.partitionBy(*by))).drop("_sum")
+
+
 def slow_queries(log: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """M7: requests over any stage threshold, with the list of reasons."""
     reasons = F.filter(F.array(*[F.when(F.col(c) > F.lit(float(t)), F.lit(f"{c}>{t:g}"))

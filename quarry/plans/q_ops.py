@@ -14,7 +14,7 @@ from quarry.functions.fmt import format_ms, format_seconds
 from quarry.functions.keys import cache_key_kwargs, cache_key_md5, cache_key_prefixed
 from quarry.operators.cache import answer_with_cache, clear_marker, entries, ttl_replay
 from quarry.operators.metrics import (
-    bench_stats, cost, counters, docs_histogram, latency_blend, latency_histogram, slow_queries, stage_split,
+    bench_stats, cost, counters, docs_histogram, latency_blend, latency_histogram, slow_queries, stage_split_long,
 )
 from quarry.plans.registry import register
 from quarry.sources.tables import load_table
@@ -220,10 +220,7 @@ FROM events GROUP BY event_type
 def q_stage_split(spark, sf_dir):
     """M6, unpivoted: mean time of each stage and its share of all time.  The
     request type names the stage that took an event's time."""
-    stages = ("view", "click", "error", "purchase", "signup")
-    log = request_log(spark, sf_dir).select("total_ms", *[F.when(F.col("event_type") == s, F.col("total_ms")).alias(s) for s in stages])
-    rows = ", ".join(f"'{s}', avg_{s}, share_{s}" for s in stages)
-    long = stage_split(log, stages).selectExpr(f"stack({len(stages)}, {rows}) AS (stage, avg_ms, share)")
+    long = stage_split_long(request_log(spark, sf_dir).withColumnRenamed("event_type", "stage"))
     return long.select("stage", F.round("avg_ms", R).alias("avg_ms"), F.round("share", R).alias("share"))
 
 

@@ -32,3 +32,13 @@ def test_slow_and_blend(spark):
     assert list(s.reasons) == ["total_ms>500", "llm_ms>2000"]
     b = latency_blend(log, hit_rate=0.7).first()
     assert abs(b.expected_ms - (0.7 * 100 + 0.3 * 600)) < 1e-9
+
+
+def test_stage_split_any_type(spark, tmp_path):
+    """Types other than those of the test data, and the null type, are stages."""
+    from quarry.plans import load_all
+    rows = [(1, "view", 1.0), (2, "refund", 2.0), (3, None, 4.0), (4, None, 1.0), (5, "view", None)]
+    (spark.createDataFrame(rows, "event_id long, event_type string, value double")
+     .selectExpr("*", "timestamp'2024-01-01' AS ts", "1L AS user_id", "'{}' AS props").write.parquet(str(tmp_path / "events.parquet")))
+    got = {r.stage: (r.avg_ms, r.share) for r in load_all().QUERIES["stage_split"](spark, str(tmp_path)).collect()}
+    assert got == {"view": (1.0, 0.125), "refund": (2.0, 0.25), None: (2.5, 0.625)}
