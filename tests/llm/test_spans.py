@@ -89,6 +89,41 @@ def test_personal_added():
     assert s["card"] == 1.0
 
 
+def test_constants_of_any_length():
+    f = lambda t: added(t, secrets.secrets, secrets.ADDED)
+    parts = [f"q{i}Z$x" for i in range(200)]
+    assert f("auth = " + " + ".join(f'"{p}"' for p in parts)) == parts
+    assert f("a = " + " + ".join(f'"{p}"' for p in parts) + "\nauth = a") == parts
+    chain = 'v0 = "Zk9$wQ2#"\n' + "".join(f"v{i} = v{i - 1} + v{i - 1}\n" for i in range(1, 3000)) + "auth = v2999"
+    assert f(chain) == ["Zk9$wQ2#"]
+
+
+def test_assignment_forms():
+    """Annotations, subscripts, prefixes, brackets, continued lines."""
+    f = lambda t: added(t, secrets.secrets, secrets.ADDED)
+    v, w = "Zk9$wQ2#pL7!xR4@", "k8Jx!2mQz"
+    for t in (f'password: str = "{v}"', f'auth: Optional[str] = "{v}"', f'const authToken: string | null = "{v}";', f'password: string="{v}"',
+              f'let secret: &str = "{v}";', f'config["api_key"] = "{v}"', f"os.environ['AUTH_TOKEN'] = '{v}'", f'a["b"]["password"] = "{v}"',
+              f'client_secret = b"{v}"', f"auth = rb'{v}'", f'credential = f"{v}"', f'auth = ("{v}")', f'password = (\n    "{v}"\n)', f'auth = ["{v}"]',
+              f'auth: str = (\n  "{v}"\n)', f'auth = \\\n  "{v}"'):
+        assert f(t) == [v], t
+    for t in (f'credential = "{v}" +\n  "{w}"', f'credential = "{v}"\n  + "{w}"', f'credential = "{v}" "{w}"', f'credential = "{v}" \\\n  "{w}"',
+              f'credential = ("{v}"\n  "{w}")', f'credential = "{v}"\n  "{w}";', f'credential = (b"{v}" +  # one\n b"{w}")', f'auth = ["{v}", "{w}abcDE"]'):
+        assert f(t) in ([v, w], [v, w + "abcDE"]), t
+    assert f(f'{{"auth": "{v}",\n "colour": "{w}abcDE"}}') == [v] and f(f'"auth": "{v}"\n"colour": "{w}abcDE"') == [v]
+    for t in (f'if token: colour = "{v}"', f'colours["red"] = "{v}"', f'colour: str = "{v}"', f'token_count: int = "{v}"', f'auth = "a"\ncolour = b"{v}"'):
+        assert f(t) == [], t
+
+
+def test_lexer_linear_time():
+    import time
+    for t in ('a = "' * 40_000, "a=(" * 80_000, "a=[[" * 80_000, 'a = "b" +\n' * 40_000, "a: b" * 80_000, "a: b[" * 60_000, 'x["a"] = ' * 40_000, 'a="b"' * 60_000,
+              "a=(\n#" * 60_000, '"b" ' * 60_000 + "=", "a: b | c " * 40_000, 'a=("b",' * 40_000, "auth = " + "#\n" * 100_000, "=(" + "\n" * 200_000, "a=(b" + "\n" * 1000 + ")a=(b" * 9):
+        start = time.time()
+        secrets.secrets(t)
+        assert time.time() - start < 20, t[:10]
+
+
 def test_iban_before_a_word():
     """Upper-case words and other IBANs behind an IBAN are not part of it."""
     f = lambda t: added(t, pii.personal, ("iban",))
