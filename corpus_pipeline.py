@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quarry.llm.common import fresh, sized, with_uid, written
 from quarry.llm.lines import dedup_lines
 from quarry.llm.minhash import near_groups
-from quarry.llm.mixing import interleave
-from quarry.llm.packing import pack
+from quarry.llm.mixing import interleave, slot_groups
+from quarry.llm.packing import pack_groups
 from quarry.llm.quality import passing
 from quarry.session import ensure_checkpoint_dir, ship_package
 from quarry.sources.tables import load_table
@@ -46,8 +46,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per token piece: document, place in it, sequence and offset."""
-    return pack(docs)
+    """One row per token piece: document, place in it, sequence and offset.
+    Windows are filled within stretches of the mixed order, which depends on
+    ids and sources only, and the sequences follow it."""
+    return pack_groups(docs, slot_groups(docs))
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup),

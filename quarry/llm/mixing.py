@@ -29,6 +29,7 @@ from quarry.llm.common import fresh, sized, with_uid, written
 BLOCK_DOCS = 16
 PERIOD = 1000
 BUCKET_DOCS = 5_000
+GROUP_DOCS = 4_096
 
 
 def root_weights(counts: DataFrame, period: int = PERIOD) -> DataFrame:
@@ -102,6 +103,22 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
                     (F.col("slot") < F.lit(stop or 0)).alias("mixed")))
 
 
+def slot_groups(docs: DataFrame, group_docs: int = GROUP_DOCS, block_docs: int = BLOCK_DOCS, **options) -> DataFrame:
+    """uid, grp, mixed for every document: stretches of the mixed order of
+    about ``group_docs`` documents, numbered in its order.  At the border of
+    two groups each source has its share to within less than one block, until
+    the first source runs out."""
+    step = max(1, group_docs // block_docs)
+    plan = written(schedule(docs, block_docs=block_docs, **options).select(
+        "uid", "mixed", F.expr(f"slot div {step}").alias("stretch")), "slots")
+    # one row for each stretch of slots; sparse ones (sources have run out) are joined
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    per = plan.groupBy("stretch").agg(F.count("*").alias("c"))
+    number = written(per.withColumn("first", F.coalesce(F.sum("c").over(before), F.lit(0)))
+                     .select("stretch", F.expr(f"first div {step * block_docs}").alias("grp")), "stretches")
+    return plan.join(sized(number, 32), "stretch").select("uid", "grp", "mixed")
+
+
 def interleave(docs: DataFrame, **options) -> DataFrame:
     """All rows and columns of ``docs``, in mixed order: partitions and the
     rows in them (so the written files, too) follow (slot, place)."""

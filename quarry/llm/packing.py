@@ -12,8 +12,14 @@ the counts.  The pattern is repeated while all its lengths last, so there are
 only some thousand patterns.  Pieces then find their window by their rank
 among the remainders of their length.
 
+``pack_groups`` packs documents that have an order: each of their groups (a
+stretch of the order) gets windows of its own, and ``sequence_id`` follows the
+groups.
+
 Scale.  Tokens never move: shuffled are (partition, length) counts and one row
-of integers a piece.  The driver sees the length histogram only.
+of integers a piece.  The driver sees the length histogram only.  With
+groups, each group's histogram is planned in a task of its own and its pieces
+are ranked there, so groups should be of bounded size.
 
 Defined cases: a null text is empty and gives the single end id; repeated rows
 and null ids are packed like others; an empty table gives an empty result.
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import with_uid, written
 
 CAPACITY = 1024
 END_ID = 0
@@ -181,6 +187,54 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     return whole.select(*out).unionByName(placed.select(*out))
 
 
+LAYOUT = "grp long, length long, lo long, hi long, q long, window long, at long"
+GROUP_BITS = 36  # of a sequence_id below the group's number
+
+
+def _cut_rows(capacity: int, vocabulary: str):
+    """Pieces with the row number of their document; no ids."""
+    def fn(batches):
+        encode = encoder(vocabulary)
+        for b in batches:
+            uid, doc, text = b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")
+            for i in range(0, b.num_rows, 128):
+                rows = []
+                for u, d, t in zip(uid[i:i + 128], doc[i:i + 128], text[i:i + 128].to_pylist()):
+                    ids = np.array([*encode(t or ""), END_ID], "<u4")
+                    rows += [(u, d, s, e - s, zlib.crc32(ids[s:e].tobytes()), len(ids)) for s, e in cuts(len(ids), capacity)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)],
+                                                 names=["uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+    return fn
+
+
+def pack_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
+                vocabulary: str = VOCABULARY) -> DataFrame:
+    """``pack`` with windows filled within each group; ``groups`` has uid (the
+    number that ``with_uid`` gives the rows of ``docs``) and grp, from 0 on,
+    for every row.  The group is ``sequence_id`` shifted by ``GROUP_BITS``."""
+    from pyspark.sql import Window
+    src = with_uid(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    cut = src.mapInArrow(_cut_rows(capacity, vocabulary), "uid long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = written(written(cut, "cut").join(groups.select("uid", "grp"), "uid"), "pieces")
+
+    def plan(key, pdf):
+        import pandas as pd
+        rows = plan_windows(dict(zip(pdf["length"].tolist(), pdf["c"].tolist())), capacity)
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["grp", "length", "lo", "hi", "q", "window", "at"])
+
+    rest = F.col("length") < capacity
+    layout = written(pieces.where(rest).groupBy("grp", "length").agg(F.count("*").alias("c")).groupBy("grp").applyInPandas(plan, LAYOUT), "layout")
+    rank = F.row_number().over(Window.partitionBy("grp", "length").orderBy("uid", "start")) - 1
+    ranked = pieces.withColumn("rank", rank.cast("long"))
+    first = F.shiftleft(F.col("grp").cast("long"), GROUP_BITS)
+    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    whole = ranked.where(~rest).withColumn("sequence_id", first + F.col("rank") * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
+    placed = (ranked.where(rest).join(layout.hint("merge"), ["grp", "length"]).where("rank >= lo and rank < hi")
+              .withColumn("sequence_id", first + (F.col("window") + F.expr("(rank - lo) div q")) * 2)
+              .withColumn("offset", F.expr("at + (rank - lo) % q * length")))
+    return whole.select(*out).unionByName(placed.select(*out))
+
+
 def sequences(pieces: DataFrame, capacity: int = CAPACITY, pad_id: int = END_ID) -> DataFrame:
     """sequence_id, input_ids, n_tokens from ``pack(..., keep_ids=True)``:
     padded to ``capacity`` unless the tokens number a power of two."""

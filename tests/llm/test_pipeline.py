@@ -46,3 +46,42 @@ def test_odd_rows(spark, odd, empty):
             out = stage(spark, docs, SF001)
             assert out.columns == docs.columns or name == "packing"
             docs = written(out, f"odd-{name}")
+
+
+def test_sequences_are_mixed(spark, table):
+    """Up to every border of two groups the sequences hold each source's share
+    (a hot source included); each group's windows are its own and full but for the last."""
+    from collections import Counter
+    from quarry.llm import mixing as M
+    source = lambda i: "hot" if i % 3 else f"s{i % 4}"
+    docs = table([(i, f"text {i} " + "word " * (i * 7 % 90), "en", source(i), 1, None, None, None, None) for i in range(6000)])
+    docs = docs.orderBy(docs.source, docs.doc_id)
+    docs = written(docs, "by-source")
+    weights = spark.createDataFrame([("hot", 4), ("s0", 2), ("s1", 2), ("s2", 1), ("s3", 1)], "source string, weight long")
+    groups = M.slot_groups(docs, group_docs=256, weights=weights)
+    pieces = packing.pack_groups(docs, groups, capacity=128).collect()
+    mixed = {r["uid"]: r["mixed"] for r in groups.collect()}
+    assert len(mixed) == 6000 and len({p["doc_id"] for p in pieces}) == 6000
+    stretches, fill = {}, Counter()
+    for p in pieces:
+        stretches.setdefault(p["sequence_id"] >> packing.GROUP_BITS, set()).add(p["doc_id"])
+        fill[p["sequence_id"]] += p["length"]
+    assert max(fill.values()) <= 128 and sum(map(len, stretches.values())) == 6000
+    assert sum(fill.values()) > 0.97 * 128 * len(fill)
+    end = sum(mixed.values())
+    seen, share, borders = Counter(), {"hot": 0.4, "s0": 0.2, "s1": 0.2, "s2": 0.1, "s3": 0.1}, 0
+    for g in sorted(stretches):
+        seen.update(source(d) for d in stretches[g])
+        total = sum(seen.values())
+        if total > end:
+            break
+        borders += 1
+        assert all(abs(seen[s] - share[s] * total) < M.BLOCK_DOCS for s in share), (g, seen)
+    assert borders >= 5
+
+
+def test_run_follows_the_mixed_order(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    monkeypatch.setattr(C, "slot_groups", lambda d: __import__("quarry.llm.mixing", fromlist=["x"]).slot_groups(d, group_docs=32))
+    pieces = C.STAGES[-1][1](spark, docs, SF001).collect()
+    assert len({p["sequence_id"] >> packing.GROUP_BITS for p in pieces}) > 1
