@@ -1,13 +1,15 @@
 """Helpers shared by the operators.
 
 Row identity.  ``doc_id`` may repeat or be null, so operators that must find
-a row again number rows with ``with_uid``.  The number is the position of the
-row in the scan: it is the same in every scan of the same files, also in a
-retried task.  Give the operators tables (Parquet); write a computed frame
-with ``written`` first.
+a row again number rows with ``with_uid``.  The number is the rank of the
+row's file among the table's files and the row's place in that file, so it is
+the same in every scan, however the files are split, on however many cores.
+A frame that is no plain scan of a table is written first (``stored``);
+operators that number the same rows twice store them once.
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.session import scratch_path
@@ -23,8 +25,42 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+FILE_ROWS = 1 << 36  # more than a file can hold
+_PLAIN = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether rows come from the files of one table, filtered at most."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in _PLAIN:
+        if node.children().isEmpty():
+            try:
+                df.select("_metadata.row_index")
+            except AnalysisException:
+                return False
+            return True
+        node = node.children().head()
+    return False
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` if it is a scan of a table, else a written copy."""
+    return df if _is_scan(df) else written(df, "rows")
+
+
 def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
-    return df.withColumn(name, F.monotonically_increasing_id())
+    df = stored(df)
+    path, row = fresh(df, "q_path"), fresh(df, "q_row")
+    # one name for each file of the table
+    files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
+    at = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
+    if len(files) < 2:
+        return at.withColumn(name, F.col(row)).drop(path, row)
+    number = fresh(at, "q_file")
+    rank = df.sparkSession.createDataFrame(list(zip(files, range(len(files)))), f"{path} string, {number} long")
+    rank = F.broadcast(rank) if sum(map(len, files)) < 16 << 20 else rank
+    return (at.join(rank, path).withColumn(name, F.col(number) * FILE_ROWS + F.col(row)).drop(path, row, number)
+            .select(*df.columns, name))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

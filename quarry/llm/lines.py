@@ -35,7 +35,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import fresh, sized, with_uid, written
+from quarry.llm.common import fresh, sized, stored, with_uid, written
 
 TAU = 1
 MIN_CHARS = 32
@@ -268,9 +268,8 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", chars_col: str | None =
     """The rows of ``docs`` with their columns, the text without the dropped
     lines (and ``chars_col``, if there is one, counted again); rows of which
     every line is dropped go."""
-    uid = fresh(docs, "q_uid")
-    src, _, drops = dropped_lines(docs, text_col=text_col, **options)
-    del src
+    docs, uid = stored(docs), fresh(docs, "q_uid")
+    _, _, drops = dropped_lines(docs, text_col=text_col, **options)
     mark = fresh(docs, "q_drops")
     joined = with_uid(docs, uid).join(drops.select(F.col("uid").alias(uid), F.col("drops").alias(mark)).hint("merge"), uid, "left")
     text = _kept_text(F.col(text_col), F.col(mark))

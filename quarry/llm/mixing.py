@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarry.llm.common import fresh, sized, with_uid, written
+from quarry.llm.common import fresh, sized, stored, with_uid, written
 
 BLOCK_DOCS = 16
 PERIOD = 1000
@@ -122,7 +122,7 @@ def slot_groups(docs: DataFrame, group_docs: int = GROUP_DOCS, block_docs: int =
 def interleave(docs: DataFrame, **options) -> DataFrame:
     """All rows and columns of ``docs``, in mixed order: partitions and the
     rows in them (so the written files, too) follow (slot, place)."""
-    uid = fresh(docs, "q_uid")
+    docs, uid = stored(docs), fresh(docs, "q_uid")
     slot, place = fresh(docs, "q_slot"), fresh(docs, "q_place")
     plan = schedule(docs, **options).select(F.col("uid").alias(uid), F.col("slot").alias(slot), F.col("place").alias(place))
     return (with_uid(docs, uid).join(plan, uid).repartitionByRange(slot, place)

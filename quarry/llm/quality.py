@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarry.llm.common import ASCII_SPACE, fresh, sized, with_uid, written
+from quarry.llm.common import ASCII_SPACE, fresh, sized, stored, with_uid, written
 
 SYMBOLS = "#*$%&|<>"
 STATS = ("word_length", "symbols", "repeated_lines", "repeated_words")
@@ -240,6 +240,6 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP,
 
 def passing(docs: DataFrame, **options) -> DataFrame:
     """The rows and columns of ``docs`` that pass."""
-    uid = fresh(docs, "q_uid")
+    docs, uid = stored(docs), fresh(docs, "q_uid")
     out = written(quality(docs, **options).where("not kept").select(F.col("uid").alias(uid)), "rejected")
     return with_uid(docs, uid).join(sized(out, 16), uid, "left_anti").select(*docs.columns)
