@@ -1,10 +1,11 @@
-"""Queries op6 and op8."""
+"""Queries op6, op8 and op11."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.exact import exact_dedup
 from quarry.llm.minhash import near_groups
+from quarry.llm.overlap import overlap_groups
 from quarry.llm.registry import register
 from quarry.sources.tables import load_table
 
@@ -46,3 +47,27 @@ WINDOW p AS (PARTITION BY t)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+# as op6, on windows of five words and without ``kept``
+OP11_SQL = rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS sh FROM t)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b)
+SELECT r.a AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id
+FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+"""
+
+
+@register("op11_overlap", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents")
+    return overlap_groups(docs, shingle=5, percent=80).select("doc_id", "n_shingles", "component_id")
