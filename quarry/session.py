@@ -60,7 +60,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables
     (stream checkpoints, sink folders, lineage cuts)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+def remove_path(spark: SparkSession, p: str) -> None:
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(p)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the scratch tables that this process has made so far; call it when
+    the results read from them have been written elsewhere.  Returns their number."""
+    n = len(_SCRATCH)
+    while _SCRATCH:
+        remove_path(spark, _SCRATCH.pop())
+    return n
 
 
 def path_exists(spark: SparkSession, p: str) -> bool:
