@@ -102,8 +102,10 @@ def topk_block(qids: np.ndarray, Q: np.ndarray, ks: np.ndarray,
                          "d2": np.concatenate(out_d), "_k": np.concatenate(out_k)})
 
 
-def _merge_topk(frames: list[pd.DataFrame]) -> pd.DataFrame:
+def _merge_topk(frames: list[pd.DataFrame], once: bool = False) -> pd.DataFrame:
     df = pd.concat(frames, ignore_index=True)
+    if once:  # a vector that is in several lists
+        df = df.drop_duplicates(["qid", "cid"])
     df = df.sort_values(["qid", "d2", "cid"], kind="mergesort")
     df["_r"] = df.groupby("qid", sort=False).cumcount()
     df = df[df["_r"] < df["_k"]]
@@ -168,13 +170,14 @@ def knn_join(questions: DataFrame, corpus: DataFrame, k: int = 3, *,
              k_col: str | None = None, on: Sequence[str] = (),
              strategy: str = "auto", broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
              q_block: int = 2048, c_block: int = 16384,
-             unique_questions: bool = True) -> DataFrame:
+             unique_questions: bool = True, once: bool = False) -> DataFrame:
     """Exact kNN join by squared L2.
 
     ``k_col``: per-question k (NULL means ``k``), J9.  ``on``: columns that
     must be equal on both sides (metadata equality filters, IVF list id), J5.
     ``unique_questions=False`` when a question id repeats (one row per probed
-    IVF list): the top-k is then merged over all rows of the id.
+    IVF list): the top-k is then merged over all rows of the id.  ``once``: a
+    corpus id may come in several lists and is one hit.
     Constant filters are plain ``where`` clauses on the inputs, which Catalyst
     pushes into the Parquet scan.
     """
@@ -213,13 +216,15 @@ def knn_join(questions: DataFrame, corpus: DataFrame, k: int = 3, *,
     if strategy == "index_broadcast":
         return _index_broadcast(spark, q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype)
     if strategy == "query_broadcast":
-        pairs = _query_broadcast(spark, q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype)
+        pairs = _query_broadcast(spark, q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype, once)
     elif strategy == "pivot":
         pairs = _pivot(q, c, q_id, q_vec, c_id, c_vec, int(kmax), q_block, c_block)
     elif strategy == "grid":
         pairs = _grid(q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype, q_block, c_block)
     else:
         raise ValueError(strategy)
+    if once:
+        pairs = pairs.dropDuplicates([q_id, c_id])
     # the per-question k travels with the pairs (column _k), no join back
     return _ranked(pairs, q_id, c_id, k_col is not None, int(kmax))
 
@@ -258,7 +263,7 @@ def _index_broadcast(spark, q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype):
     return out.select(q_id, "rank", c_id, "d2")
 
 
-def _query_broadcast(spark, q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype):
+def _query_broadcast(spark, q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype, once=False):
     qp = q.toPandas()  # size checked by the caller
     groups = {}
     for key, g in _key_tuple(qp, on):
@@ -280,10 +285,10 @@ def _query_broadcast(spark, q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype):
                 qids, Q, ks = hit
                 frames.append(topk_block(qids, Q, ks, g[c_id].to_numpy(), _stack(g[c_vec])))
             if sum(len(f) for f in frames) > 4 * sum(len(v[0]) for v in qs.values()) * 8:
-                frames = [_merge_topk(frames)]
+                frames = [_merge_topk(frames, once)]
         if frames:
             # running top-k of this task: at most (questions x k) rows leave it
-            yield _merge_topk(frames).rename(columns={"qid": q_id, "cid": c_id})
+            yield _merge_topk(frames, once).rename(columns={"qid": q_id, "cid": c_id})
 
     return c.mapInPandas(run, _pairs_schema(q_id, c_id, qtype, ctype))
 
@@ -370,54 +375,110 @@ def with_scores(hits: DataFrame, min_score: float | None = None) -> DataFrame:
 # IVF: approximate kNN as an equi-join on list ids
 # --------------------------------------------------------------------------- #
 
-def build_ivf(corpus: DataFrame, n_lists: int, *, c_id: str = "cid", c_vec: str = "embedding",
-              seed: int = 7, max_iter: int = 20):
-    """Train ``n_lists`` centroids with ``pyspark.ml`` KMeans and assign every
-    corpus vector to its nearest centroid.
-
-    Returns ``(centroids, assigned)``: centroids(list_id INT, centroid
-    ARRAY<DOUBLE>) - small, ``n_lists`` rows - and the corpus with a
-    ``list_id`` column.  Training and assignment cover every vector.
-    """
+def kmeans_centroids(corpus: DataFrame, n_lists: int, c_vec: str = "embedding", seed: int = 7, max_iter: int = 20) -> DataFrame:
+    """(list_id INT, centroid ARRAY<DOUBLE>) trained on every vector with
+    ``pyspark.ml`` KMeans."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    spark = corpus.sparkSession
     train = corpus.select(array_to_vector(F.col(c_vec).cast("array<double>")).alias("features"))
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="features").fit(train)
-    centers = [list(map(float, v)) for v in model.clusterCenters()]
-    centroids = spark.createDataFrame(
-        [(i, v) for i, v in enumerate(centers)],
-        T.StructType([T.StructField("list_id", T.IntegerType()),
-                      T.StructField("centroid", T.ArrayType(T.DoubleType()))]))
-    nearest = knn_join(corpus.select(c_id, c_vec), centroids, 1, q_id=c_id, q_vec=c_vec,
-                       c_id="list_id", c_vec="centroid", strategy="index_broadcast")
-    assigned = corpus.join(nearest.select(c_id, "list_id"), c_id)
-    return centroids, assigned
+    return corpus.sparkSession.createDataFrame(
+        [(i, list(map(float, v))) for i, v in enumerate(model.clusterCenters())],
+        T.StructType([T.StructField("list_id", T.IntegerType()), T.StructField("centroid", T.ArrayType(T.DoubleType()))]))
+
+
+def assign_lists(corpus: DataFrame, centroids: DataFrame, *, c_id: str = "cid", c_vec: str = "embedding", spill: int = 1) -> DataFrame:
+    """The corpus with ``list_id``: every vector in its ``spill`` nearest lists
+    (more than one finds neighbours behind the border of a list; search such a
+    table with ``once=True``)."""
+    near = knn_join(corpus.select(c_id, c_vec), centroids, spill, q_id=c_id, q_vec=c_vec, c_id="list_id", c_vec="centroid",
+                    strategy="index_broadcast")
+    return corpus.join(near.select(c_id, "list_id"), c_id)
+
+
+def build_ivf(corpus: DataFrame, n_lists: int, *, c_id: str = "cid", c_vec: str = "embedding",
+              seed: int = 7, max_iter: int = 20, spill: int = 1):
+    """Train ``n_lists`` centroids and assign every corpus vector to its nearest
+    ``spill``.  Returns ``(centroids, assigned)``; both cover every vector."""
+    centroids = kmeans_centroids(corpus, n_lists, c_vec, seed, max_iter)
+    return centroids, assign_lists(corpus, centroids, c_id=c_id, c_vec=c_vec, spill=spill)
+
+
+def coarse_groups(centroids: DataFrame, n_groups: int | None = None, steps: int = 10) -> tuple[DataFrame, DataFrame]:
+    """A second level over the centroids: (groups(group_id, center), centroids
+    with group_id), about the root of their number of groups.  Centroids are a
+    model of bounded size (they come from the driver), so they are grouped there."""
+    spark = centroids.sparkSession
+    rows = centroids.select("list_id", "centroid").orderBy("list_id").collect()
+    ids, x = [r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(len(rows), -1)
+    n_groups = min(len(ids), n_groups or max(1, math.ceil(math.sqrt(len(ids)))))
+    center = x[np.linspace(0, len(ids) - 1, n_groups).astype(int)] if ids else x
+    of = np.zeros(len(ids), int)
+    for _ in range(steps if ids else 0):
+        of = np.argmin((x * x).sum(1)[:, None] - 2 * x @ center.T + (center * center).sum(1)[None], axis=1)
+        used = np.unique(of)
+        center = np.stack([x[of == g].mean(axis=0) for g in used])
+        of = np.searchsorted(used, of)
+    groups = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(center)], "group_id int, center array<double>")
+    return groups, spark.createDataFrame([(i, [float(v) for v in c], int(g)) for i, c, g in zip(ids, x, of)],
+                                         "list_id int, centroid array<double>, group_id int")
+
+
+def probe_lists(questions: DataFrame, groups: DataFrame, centroids: DataFrame, nprobe: int, n_groups: int, *, q_id: str = "qid",
+                q_vec: str = "q_vec") -> DataFrame:
+    """(q_id, list_id, rank): the ``nprobe`` nearest lists within the ``n_groups``
+    nearest groups of each question; lists of other groups are never ranked."""
+    dim = _vector_dim(groups, "center") or 1
+    plan = lambda table, other: "index_broadcast" if _fits(table, dim, DEFAULT_BROADCAST_BYTES) else other
+    near = knn_join(questions.select(q_id, q_vec), groups, n_groups, q_id=q_id, q_vec=q_vec, c_id="group_id", c_vec="center",
+                    strategy=plan(groups, "auto")).select(q_id, "group_id")
+    found = knn_join(questions.select(q_id, q_vec).join(near, q_id), centroids, nprobe, q_id=q_id, q_vec=q_vec, c_id="list_id",
+                     c_vec="centroid", on=["group_id"], strategy=plan(centroids, "grid"), unique_questions=False)
+    w = Window.partitionBy(q_id).orderBy("d2", "list_id")
+    return found.select(q_id, "list_id", F.row_number().over(w).alias("rank")).where(F.col("rank") <= nprobe)
 
 
 def ivf_knn_join(questions: DataFrame, centroids: DataFrame, assigned: DataFrame, k: int = 3,
                  nprobe: int = 1, *, q_id: str = "qid", q_vec: str = "q_vec",
-                 c_id: str = "cid", c_vec: str = "embedding", strategy: str = "auto",
-                 **kw) -> DataFrame:
-    """Probe the ``nprobe`` nearest lists of each question, and further ones
-    in order while those hold fewer than its k vectors (after its filters),
-    then an exact top-k inside those lists as a join on ``list_id`` (hot lists
-    are split by the grid plan).  So a question gets k hits whenever the corpus
-    has k.  ``nprobe = n_lists`` is exact."""
+                 c_id: str = "cid", c_vec: str = "embedding", strategy: str = "auto", groups: DataFrame | None = None,
+                 n_groups: int | None = None, **kw) -> DataFrame:
+    """Probe the ``nprobe`` nearest lists of each question, then an exact top-k
+    inside them as a join on ``list_id`` (hot lists are split by the grid plan).
+
+    Lists are found in two levels: the nearest groups of centroids first
+    (``n_groups``; default: as many as hold twice ``nprobe`` lists on average),
+    then lists within those groups.  Lists are fetched on demand: questions whose
+    lists hold fewer than k vectors (after their filters) probe twice as many
+    groups and lists, until they have k or all lists.  ``nprobe`` >= the number of
+    lists is exact.  ``groups``: of centroids that have ``group_id`` already."""
     on = list(kw.pop("on", ()))
     k_col = kw.get("k_col")
-    n_lists = centroids.count()
-    probes = knn_join(questions.select(q_id, q_vec), centroids, n_lists, q_id=q_id, q_vec=q_vec,
-                      c_id="list_id", c_vec="centroid", strategy="index_broadcast").select(q_id, "list_id", "rank")
-    extra = ([k_col] if k_col else []) + on
-    held = assigned.groupBy("list_id", *on).agg(F.count("*").alias("_held"))
+    if groups is None:
+        groups, centroids = coarse_groups(centroids)
+    groups, centroids = cut(groups), cut(centroids)
+    all_lists, all_groups = centroids.count(), groups.count()
+    per_group = max(1, all_lists // max(1, all_groups))
+    g = all_groups if nprobe >= all_lists else min(all_groups, n_groups or -(-2 * nprobe // per_group))
+    held = cut(assigned.groupBy("list_id", *on).agg(F.count("*").alias("_held")))
     want = F.coalesce(F.col(k_col).cast("int"), F.lit(k)) if k_col else F.lit(k)
-    before = Window.partitionBy(q_id).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # n_lists rows a question
-    qx = (questions.select(q_id, q_vec, *extra).join(probes, q_id).join(held, ["list_id", *on])
-          .withColumn("_before", F.coalesce(F.sum("_held").over(before), F.lit(0)))
-          .where((F.col("rank") <= nprobe) | (F.col("_before") < want))
-          .select(q_id, q_vec, *extra, "list_id"))
+    asked = questions.select(q_id, q_vec, *([k_col] if k_col else []), *on)
+    rest, chosen, n = asked, None, nprobe
+    while True:
+        probes = cut(probe_lists(rest, groups, centroids, n, g, q_id=q_id, q_vec=q_vec).select(q_id, "list_id"))
+        at = rest.drop(q_vec).join(probes, q_id).join(held, ["list_id", *on], "left")
+        if n >= all_lists and g >= all_groups:
+            chosen = probes if chosen is None else chosen.unionByName(probes)
+            break
+        full = cut(at.groupBy(q_id).agg(F.sum("_held").alias("_sum"), F.first(want).alias("_want"))
+                   .where(F.col("_sum") >= F.col("_want")).select(q_id))
+        done = probes.join(full, q_id, "left_semi")
+        chosen = done if chosen is None else chosen.unionByName(done)
+        rest = cut(rest.join(full, q_id, "left_anti"))
+        if rest.isEmpty():
+            break
+        n, g = min(all_lists, 2 * n), min(all_groups, 2 * g)
+    qx = asked.join(chosen, q_id)
     on_cols = ["list_id", *on]
     # one row per (question, probed list); the final window merges the lists
     return knn_join(qx, assigned.select(c_id, c_vec, *on_cols), k, q_id=q_id, q_vec=q_vec,
