@@ -19,7 +19,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from quarry.llm.spans import Span, scan
+from quarry.llm.spans import Span, scan, touches
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "local_phone")
@@ -144,8 +144,9 @@ def personal(text: str) -> list[Span]:
         added += [("ssn", m.start(), m.end(), False) for m in _SSN.finditer(text)]
         added += [("local_phone", m.start(), m.end(), False) for m in _LOCAL_PHONE.finditer(text)]
     out = [(k, a, b, _rate(k, text, a, b, c)) for k, a, b, c in base]
+    meets = touches([(a, b) for _, a, b, _ in base])
     for k, a, b, c in added:
-        if not any(a < y and x < b for _, x, y, _ in base):
+        if not meets(a, b):
             s = _rate(k, text, a, b, c)
             if s >= THRESHOLD:
                 out.append((k, a, b, s))

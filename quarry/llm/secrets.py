@@ -3,7 +3,8 @@
 Base spans come from three fixed patterns.  The method then reads every
 assignment in the text (``name = "..."``, ``name: '...'``, ``"name": "..."``,
 ``name := a + "b"``, ``NAME=value``, ``name: type = "..."``,
-``config["name"] = "..."``) into a target name and terms: literals (with or
+``config["name"] = "..."``, ``setName("...")``, ``<add key="name" value="..."/>``,
+``name: |`` with the value on the next line, ``a, b = "...", "..."``) into a target name and terms: literals (with or
 without a prefix such as ``b``) and names, joined by ``+`` or by standing next
 to each other, on the line, behind a line that ends in ``+`` or a backslash, or
 in parentheses; the values of a list are read one by one.  Literals assigned to
@@ -33,7 +34,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame
 
-from quarry.llm.spans import Span, scan
+from quarry.llm.spans import Span, covers, scan
 
 BASE = ("assign", "access", "hex")
 ADDED = ("literal",)
@@ -44,7 +45,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _HINT = re.compile(rb"pass|secret|token|api", re.I)
 
-_OPERATOR = re.compile(r":=|=>|[=:]")
+_OPERATOR = re.compile(r":=|=>|[=:]|(?<![A-Za-z0-9_])(?:set|with)_?([A-Za-z][A-Za-z0-9_]{0,80})[ \t]*\(")
+_PAIR_LEFT = re.compile(r"""(?:key|name|id)[ \t]*=[ \t]*(["'])([^"'\n]+)\1[ \t]+value[ \t]*$""", re.I)
+_BLOCK_SCALAR = re.compile(r"[ \t]*[|>][+-]?[ \t]*\r?\n[ \t]+([^ \t\r\n][^\r\n]*)")
+_NAMES_LEFT = re.compile(r"[ \t]*([A-Za-z_][A-Za-z0-9_]*(?:[ \t]*,[ \t]*[A-Za-z_][A-Za-z0-9_]*)+)[ \t]*")
 _NAME_LEFT = re.compile(r"""(?:^|[^A-Za-z0-9_.-])["']?([A-Za-z_][A-Za-z0-9_.-]*)["']?[ \t]*$""")
 _KEY_LEFT = re.compile(r"""[A-Za-z0-9_)\]][ \t]*\[[ \t]*(?:[A-Za-z]{0,2}(["'])([^"'\n\[\]]+)\1|:?([A-Za-z_][A-Za-z0-9_.]*))[ \t]*\][ \t]*$""")
 _INDEX_LEFT = re.compile(r"""(?:^|[^A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*)[ \t]*\[[ \t]*[0-9]*[ \t]*\][ \t]*$""")
@@ -81,6 +85,9 @@ def sensitive(name: str) -> bool:
     return any(p in SENSITIVE for p in parts) or any(x in SENSITIVE_PAIRS for x in zip(parts, parts[1:]))
 
 
+_CLASSES = tuple(map(re.compile, ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")))
+
+
 class Value:
     """What a score needs of a string, put together from its parts."""
     __slots__ = ("n", "chars", "classes", "bad", "head", "tail")
@@ -89,7 +96,7 @@ class Value:
     def __init__(self, value: str):
         low = value.lower()
         self.n, self.chars = len(value), Counter(value)
-        self.classes = frozenset(i for i, c in enumerate(("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")) if re.search(c, value))
+        self.classes = frozenset(i for i, c in enumerate(_CLASSES) if c.search(value))
         self.bad = " " in value or any(p in low for p in PLACEHOLDERS)
         self.head, self.tail = low[:self.EDGE], low[-self.EDGE:]
 
@@ -126,6 +133,8 @@ def score(value: str) -> float:
 def _target(text: str, lo: int, at: int) -> str | None:
     """The name that the operator at ``at`` assigns to."""
     left = text[lo:at]
+    if pair := _PAIR_LEFT.search(left):
+        return pair.group(2)
     if text[at] == "=" and ":" in left:
         name, _, kind = left.rpartition(":")
         if _TYPE_ALONE.fullmatch(kind) and not _BLOCK.search(name):
@@ -213,11 +222,30 @@ def _values(text: str, pos: int, gaps: _Gaps) -> tuple[list[list[tuple]], int]:
     return values, pos
 
 
+def _listed(text: str, pos: int) -> list[tuple]:
+    """Terms divided by commas, without brackets (none if there is one only)."""
+    out = []
+    while (m := _TERM.match(text, pos)) and m.lastindex:
+        g = m.lastindex
+        out.append((m.group(g), m.start(g), m.end(g), g == 4))
+        comma = _COMMA.match(text, m.end())
+        if not comma:
+            break
+        pos = comma.end()
+    return out if len(out) > 1 else []
+
+
 def assignments(text: str):
     """(name, values as in ``_values``) in text order."""
     end, gaps = 0, _Gaps(text)
     for op in _OPERATOR.finditer(text):
         at = op.start()
+        if op.group(1):  # a call that sets something to one literal
+            m = _LITERAL.match(text, op.end())
+            if at >= end and m and _CLOSE.match(text, m.end()):
+                end = m.end()
+                yield op.group(1), [[(m.group(m.lastindex), m.start(m.lastindex), m.end(m.lastindex), False)]]
+            continue
         if at < end or text[at:at + 3] == "://" or text[at:at + 2] == "==" or text[at - 1:at] in ("=", "!", "<", ">"):
             continue
         lo = max(0, at - NAME_WINDOW, text.rfind("\n", max(0, at - NAME_WINDOW), at) + 1)
@@ -225,9 +253,19 @@ def assignments(text: str):
             bracket = _OPEN.match(text, typed.end())
             if _LITERAL.match(text, gaps.end(bracket.end()) if bracket else typed.end()):
                 continue  # its operator is the = behind the type
+        names = op.group() == "=" and "," in text[lo:at] and _NAMES_LEFT.fullmatch(text, lo, at)
+        if names and (got := _listed(text, op.end())):
+            for name, value in zip(re.split(r"[ \t]*,[ \t]*", names.group(1)), got):
+                yield name, [[value]]
+            end = got[-1][2]
+            continue
         name = _target(text, lo, at)
         if not name:
             continue
+        if op.group() == ":" and (block := _BLOCK_SCALAR.match(text, op.end())):
+            end = block.end()
+            yield name, [[(block.group(1).rstrip(), block.start(1), block.start(1) + len(block.group(1).rstrip()), False)]]
+            continue
         values, pos = _values(text, op.end(), gaps)
         if values:
             end = pos
@@ -278,8 +316,8 @@ def secrets(text: str) -> list[Span]:
         out += [("access", m.start(), m.end(), 1.0) for m in _ACCESS.finditer(text)]
     out += [("hex", m.start(), m.end(), 1.0) for m in _HEX.finditer(text)]
     if "=" in text or ":" in text:
-        base = [(a, b) for _, a, b, _ in out]
-        out += [x for x in literals(text) if not any(a <= x[1] and x[2] <= b for a, b in base)]
+        inside = covers([(a, b) for _, a, b, _ in out])
+        out += [x for x in literals(text) if not inside(x[1], x[2])]
     return out
 
 

@@ -154,3 +154,49 @@ def test_columns(odd, empty, table):
     r = digest(secrets.secret_spans(table([(1, t, "en", "s", 1, None, None, None, None)])), secrets.BASE, secrets.ADDED).first()
     assert r["spans"] == "assign:2:51,hex:11:51" and (r["n_assign"], r["n_access"], r["n_hex"]) == (1, 0, 1)
     assert r["base_sha256"] == hashlib.sha256(r["spans"].encode()).hexdigest()
+
+
+def test_more_forms_of_assignments():
+    """Attributes of one element, block scalars, several targets, setters."""
+    from quarry.llm.secrets import literals
+    s = "Zk9$wQ2#xP4!mmQv7t"
+    for text in (f'<add key="ApiKey" value="{s}"/>', f"client_secret: |\n  {s}\nother: 1", f"client_secret: >-\n    {s}",
+                 f'a, auth_key = "x", "{s}"', f'conn.setPassword("{s}")', f"b.with_auth_token('{s}')"):
+        at = text.index(s)
+        assert [(a, b) for _, a, b, _ in literals(text)] == [(at, at + len(s))], text
+    for text in (f'<add key="Title" value="{s}"/>', f'auth_key, a = "x", "{s}"', f'setLabel("{s}")', f'setPassword(name, "{s}")'):
+        assert literals(text) == [], text
+
+
+def test_linear_in_base_spans():
+    """Many base spans in one text: added spans are compared by a sweep."""
+    import time
+
+    from quarry.llm.pii import personal
+    from quarry.llm.secrets import secrets
+
+    def took(find, line, n):
+        text = "\n".join(line.format(i=i, j=1000 + i % 9000) for i in range(n))
+        t = time.process_time()
+        assert len(find(text)) >= 2 * n
+        return time.process_time() - t
+
+    for find, line in ((secrets, 'password = "abcdefgh{i}"\nclient_secret = "Zk9$wQ2#x{i}mmQ"'),
+                       (personal, "mail a{i}@b.com, call 555-123-{j}, ip 10.0.0.1")):
+        took(find, line, 500)
+        assert took(find, line, 16_000) < 16 * took(find, line, 4_000) / 2
+
+
+def test_sweeps():
+    import random
+
+    from quarry.llm.spans import covers, touches
+    r = random.Random(5)
+    for _ in range(500):
+        base = [(a, a + r.randrange(1, 9)) for a in (r.randrange(40) for _ in range(r.randrange(6)))]
+        inside, meets = covers(base), touches(base)
+        for _ in range(30):
+            a = r.randrange(45)
+            b = a + r.randrange(1, 9)
+            assert inside(a, b) == any(x <= a and b <= y for x, y in base)
+            assert meets(a, b) == any(a < y and x < b for x, y in base)
