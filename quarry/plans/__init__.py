@@ -1,7 +1,7 @@
 """Batch plans and the registered driver queries."""
 import importlib
 
-_MODULES = ["q_retrieval", "q_text", "q_ops", "q_stream", "q_files"]
+_MODULES = ["q_retrieval", "q_text", "q_ops", "q_stream", "q_files", "q_index"]
 
 
 def load_all():

@@ -14,7 +14,8 @@ from quarry.operators.prompts import (
     CHAT_SYSTEM, chat_messages, flatten_labelled, flatten_titled, preview, prompt_brief,
     question_intake, split_system,
 )
-from quarry.operators.rerank import B, K1, bm25_rerank, passthrough
+from quarry.operators.postings import bm25_rerank_postings, store_pass
+from quarry.operators.rerank import B, K1, passthrough
 from quarry.plans.registry import register
 from quarry.session import cut
 from quarry.sources.files import load_report
@@ -48,12 +49,19 @@ def text_hits(spark, sf_dir, k):
                     q_id="item_id", q_vec="q_vec", c_id="doc_id", c_vec="embedding")
 
 
+def lexical(spark, sf_dir):
+    """(texts, blocks): the one token pass over the documents, stored."""
+    return store_pass(load_table(spark, sf_dir, "documents"), "doc_id", "text", DIM)
+
+
 def reranked(spark, sf_dir, first_k=10, top_n=3):
-    docs = load_table(spark, sf_dir, "documents")
+    """Candidates by hashed vectors, reranked by BM25; both from the stored
+    token pass, so no text is read again.  Returns (candidates, reranked)."""
     questions = load_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    cands = text_hits(spark, sf_dir, first_k)
-    return bm25_rerank(cands, questions, docs, q_id="item_id", q_text="question",
-                       d_id="doc_id", d_text="text", top_n=top_n)
+    texts, blocks = lexical(spark, sf_dir)
+    vectors = texts.where("embedding is not null").select("doc_id", "embedding")
+    cands = cut(knn_join(cut(question_vectors(spark, sf_dir)), vectors, first_k, q_id="item_id", q_vec="q_vec", c_id="doc_id", c_vec="embedding"))
+    return cands, bm25_rerank_postings(cands, questions, texts, blocks, q_id="item_id", q_text="question", d_id="doc_id", top_n=top_n)
 
 
 # --------------------------------------------------------------------------- #
@@ -237,7 +245,7 @@ def q_text_knn_top5(spark, sf_dir):
 SELECT item_id, rerank::INTEGER AS rerank, doc_id, round(rs, 6) AS rerank_score FROM bm
 """)
 def q_bm25_rerank_top3(spark, sf_dir):
-    r = reranked(spark, sf_dir, 10, 3)
+    _, r = reranked(spark, sf_dir, 10, 3)
     return r.select("item_id", "rerank", "doc_id", F.round("rerank_score", R).alias("rerank_score"))
 
 
@@ -352,7 +360,7 @@ FROM benchmark b LEFT JOIN best ON best.item_id = b.item_id
 @register("extractive_answers", _extractive_sql())
 def q_extractive_answers(spark, sf_dir):
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = reranked(spark, sf_dir, 10, 3)
+    _, hits = reranked(spark, sf_dir, 10, 3)
     ctx = context_joined(hydrate(hits, docs, "doc_id"), "item_id", rank_col="rerank")
     qs = _q_text(spark, sf_dir)
     ans = answer_extractive(ctx.join(qs, "item_id"), "context", "question", 50).select("item_id", "answer", "error")
@@ -450,9 +458,7 @@ def q_retrieval_recall(spark, sf_dir):
     docs = load_table(spark, sf_dir, "documents")
     bench = load_table(spark, sf_dir, "benchmark")
     truth = cut(verbatim_matches(bench, docs, p_id="item_id", p_text="text", d_id="doc_id", d_text="text"))
-    hits = cut(text_hits(spark, sf_dir, 10))
-    questions = bench.select("item_id", F.col("text").alias("question"))
-    rr = bm25_rerank(hits, questions, docs, q_id="item_id", q_text="question", d_id="doc_id", d_text="text", top_n=10)
+    hits, rr = reranked(spark, sf_dir, 10, 10)
     ranked = (hits.select(F.lit("hash_knn").alias("method"), "item_id", "doc_id", F.col("rank").alias("r"))
               .unionByName(rr.select(F.lit("bm25_rerank").alias("method"), "item_id", "doc_id",
                                      F.col("rerank").alias("r"))))
