@@ -26,6 +26,7 @@ and null ids are packed like others; an empty table gives an empty result.
 """
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -39,6 +40,8 @@ CAPACITY = 1024
 END_ID = 0
 VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
+LONG_SPACE = 10_000
+_LONG_RUN = re.compile(rf"(?<!\s)\s{{{LONG_SPACE}}}")  # entered at the start of a run only
 
 _LOADED: dict[str, tuple] = {}
 
@@ -47,8 +50,9 @@ def encoder(vocabulary: str = VOCABULARY):
     """text -> ids of ``<vocabulary>.json`` without added special tokens.
 
     The .tiktoken file holds the same vocabulary and gives the same ids some
-    five times faster; a text that contains the special token's own string
-    goes through the .json tokenizer, which maps it to its id."""
+    five times faster; its recursion overflows on long runs of white space.  So
+    texts with a run of ``LONG_SPACE`` white-space characters, and those with the
+    special token's own string, which has an id, go through the .json tokenizer."""
     if vocabulary not in _LOADED:
         import base64
 
@@ -61,7 +65,7 @@ def encoder(vocabulary: str = VOCABULARY):
     fast, slow_path, slow = _LOADED[vocabulary]
 
     def encode(text: str) -> list[int]:
-        if SPECIAL in text:
+        if SPECIAL in text or _LONG_RUN.search(text):
             if not slow:
                 from tokenizers import Tokenizer
                 slow.append(Tokenizer.from_file(slow_path))

@@ -103,3 +103,9 @@ def test_sequences(odd):
     got = P.sequences(P.pack(odd, capacity=16, keep_ids=True), capacity=16).collect()
     for r in got:
         assert len(r["input_ids"]) == (r["n_tokens"] if r["n_tokens"] & (r["n_tokens"] - 1) == 0 else 16)
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "\u3000" * 300_000, "a b" + " " * 20_000 + "c", (" " * 9_998 + "x") * 5])
+def test_long_white_space(slow, text):
+    """Runs that the fast encoder can't take, and runs just below them."""
+    assert P.encoder()(text) == slow(text)
