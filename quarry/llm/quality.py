@@ -6,14 +6,16 @@ of three shares (symbols by characters, repeated lines by lines, words in
 repeated 3-word windows by words).  For each language and source the centre
 and covariance are those of the three quarters of its documents that lie
 closest together (C-steps from two deterministic starts, the smaller
-determinant wins; then one reweighting step).  A document whose Mahalanobis
+determinant wins; steps go on until no determinant falls; then one reweighting
+step).  A document whose Mahalanobis
 distance passes ``CUTOFF`` is rejected, like one that fails the base rules.
 
 A variance floor (``FLOOR``, squared, added to the diagonal) says what spread
 always counts as ordinary; without it a statistic that is 0 in most documents
 would make every other value infinitely far.  Language and source pairs with
-fewer than ``MIN_GROUP`` documents are pooled by language, languages with too
-few by all; if that is still too few, only the base rules apply.
+fewer than ``MIN_GROUP`` documents that pass the base rules are judged by the
+estimate of their whole language, languages with fewer by that of the whole
+table, however small it is.
 
 Scale.  Texts are read once.  A C-step is one aggregation: moments are summed
 by (group, start, bin of the distance) on the map side, and the cumulated bins
@@ -22,7 +24,8 @@ is ever collected, however large, and every document takes part.
 
 Defined cases: a null or wordless text fails the base rules; null languages
 and sources are values of their own; repeated rows count as often as they come
-(and get the same verdict); an empty table gives an empty result.
+(and get the same verdict); where no document passes the base rules nothing can
+be estimated and distances are null; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -41,6 +44,7 @@ FLOOR = (0.06, 0.03, 0.15, 0.15)
 CUTOFF = 8.0
 CORE = 0.75
 MIN_GROUP = 50
+STILL = 1e-6  # a smaller fall of a log determinant ends a group's steps
 BINS = 32  # bins for each doubling of the squared distance
 P = len(STATS)
 
@@ -116,18 +120,22 @@ def measured(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
 
 
 def _grouped(stats: DataFrame, min_group: int) -> DataFrame:
-    """stats plus ``grp``: the language and source, or the pool they fall in."""
+    """stats plus ``grp``, the group whose estimate judges a document, and
+    ``fits``, the groups whose estimates it takes part in."""
     fit = stats.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
     seen = stats.select("lang", "source").distinct().alias("a").join(
         fit.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left"
     ).select("a.lang", "a.source", F.coalesce("n", F.lit(0)).alias("n"))
-    rest = F.sum(F.when(F.col("n") < min_group, F.col("n")).otherwise(0)).over(Window.partitionBy("lang"))
-    own = F.col("n") >= min_group
-    key = (F.when(own, F.to_json(F.struct("lang", "source")))
-           .when(F.col("rest") >= min_group, F.to_json(F.struct("lang"))).otherwise(F.lit("all")))
-    named = written(seen.withColumn("rest", rest).withColumn("grp", key).select(
-        F.col("lang").alias("l2"), F.col("source").alias("s2"), "grp"), "groups")
-    return stats.join(sized(named, 200), F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2"))).drop("l2", "s2")
+    of_lang = Window.partitionBy("lang")
+    own, wide = F.col("n") >= min_group, F.col("n_lang") >= min_group
+    some = written(seen.withColumn("n_lang", F.sum("n").over(of_lang))
+                   .withColumn("rare", F.max(F.when(own, 0).otherwise(1)).over(of_lang) == 1), "pairs")
+    table = not some.where(~own & ~wide).isEmpty()  # some are judged by the whole table
+    pair, lang = (F.concat(F.lit(k), F.to_json(F.struct(*c))) for k, c in (("pair", ("lang", "source")), ("lang", ("lang",))))
+    grp = F.when(own, pair).when(wide, lang).otherwise(F.lit("table"))
+    fits = F.array_compact(F.array(F.when(own, pair), F.when(F.col("rare") & wide, lang), F.lit("table") if table else F.lit(None).cast("string")))
+    named = written(some.select(F.col("lang").alias("l2"), F.col("source").alias("s2"), grp.alias("grp"), fits.alias("fits")), "groups")
+    return stats.join(sized(named, 400), F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2"))).drop("l2", "s2")
 
 
 def _middle(values: DataFrame, out: str) -> DataFrame:
@@ -185,7 +193,7 @@ def _distance():
         for j in range(P):
             t = (F.col(f"x{i}") - F.col("m")[i]) * (F.col(f"x{j}") - F.col("m")[j]) * F.col("w")[i * P + j]
             terms = t if terms is None else terms + t
-    return F.greatest(terms, F.lit(0.0))
+    return F.when(terms.isNotNull(), F.greatest(terms, F.lit(0.0)))
 
 
 def _moments():
@@ -205,23 +213,27 @@ def _c_step(fit: DataFrame, params: DataFrame, core: float, floor: tuple) -> Dat
     return written(inner.mapInPandas(_solve(consistency(core), floor), PARAMS), "params")
 
 
-def estimates(stats: DataFrame, min_group: int = MIN_GROUP, core: float = CORE, floor: tuple = FLOOR, steps: int = 10):
+def estimates(stats: DataFrame, min_group: int = MIN_GROUP, core: float = CORE, floor: tuple = FLOOR):
     """(rows with ``grp``, grp, m, w): robust centre and precision by group."""
     rows = written(_grouped(stats, min_group), "grouped")
-    fit = rows.where("not base_failed").select("grp", *[f"x{i}" for i in range(P)])
-    large = fit.groupBy("grp").agg(F.count("*").alias("n")).where(f"n >= {min_group}").select("grp")
-    fit = fit.join(sized(written(large, "large"), 100), "grp")
+    fit = rows.where("not base_failed").select(F.explode("fits").alias("grp"), *[f"x{i}" for i in range(P)])
     params = _starts(fit, floor)
-    for k in range(steps):
-        new = _c_step(fit, params, core, floor)
-        if k == 2:  # the better start of each group goes on alone
-            new = written(new.groupBy("grp").agg(F.min_by(F.struct("start", "m", "w", "logdet"), F.struct("logdet", "start")).alias("x"))
-                          .select("grp", "x.*"), "best")
-        moved = new.alias("a").join(params.alias("b"), ["grp", "start"]).where("abs(a.logdet - b.logdet) > 1e-9").limit(1).count()
-        params = new
-        if k > 2 and not moved:
-            break
-    inside = fit.join(sized(params, 400), "grp").withColumn("d2", _distance()).where(F.col("d2") <= _quantile(0.975, P))
+    for k in range(3):
+        params = _c_step(fit, params, core, floor)
+    # the better start of each group goes on alone
+    moving = written(params.groupBy("grp").agg(F.min_by(F.struct("start", "m", "w", "logdet"), F.struct("logdet", "start")).alias("x"))
+                     .select("grp", "x.*"), "best")
+    done = None
+    while not moving.isEmpty():
+        new = _c_step(fit, moving, core, floor)
+        both = written(moving.join(new.select("grp", F.struct("m", "w", "logdet").alias("new")), "grp"), "steps")
+        falls = F.col("logdet") - F.col("new.logdet") > STILL
+        rest = both.where(~falls).select("grp", "start", "m", "w", "logdet")
+        done = rest if done is None else done.unionByName(rest)
+        moving = both.where(falls).select("grp", "start", "new.m", "new.w", "new.logdet")
+    if done is None:
+        return rows, params.select("grp", "m", "w")
+    inside = fit.join(sized(written(done, "settled"), 400), "grp").withColumn("d2", _distance()).where(F.col("d2") <= _quantile(0.975, P))
     final = inside.groupBy("grp", "start").agg(*_moments()).where("k > 0")
     return rows, written(final.mapInPandas(_solve(consistency(0.975), floor), PARAMS), "final").select("grp", "m", "w")
 
@@ -229,7 +241,7 @@ def estimates(stats: DataFrame, min_group: int = MIN_GROUP, core: float = CORE,
 def quality(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, core: float = CORE,
             floor: tuple = FLOOR, **columns) -> DataFrame:
     """One row per document: uid, doc_id, the base counts, base_failed,
-    distance (null where no group is large enough) and kept."""
+    distance (null where nothing can be estimated) and kept."""
     stats = measured(docs, **columns)
     rows, params = estimates(stats, min_group, core, floor)
     far = rows.join(sized(params, 400), "grp", "left").withColumn("distance", F.sqrt(_distance()))

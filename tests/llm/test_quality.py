@@ -51,10 +51,36 @@ def mcd(x, floor, core=Q.CORE):
         if best is None or np.linalg.slogdet(c)[1] < np.linalg.slogdet(best[1])[1]:
             best = m, c
     m, c = best
-    for _ in range(7):
-        m, c = step(m, c)
+    while True:
+        m2, c2 = step(m, c)
+        if np.linalg.slogdet(c)[1] - np.linalg.slogdet(c2)[1] <= Q.STILL:
+            break
+        m, c = m2, c2
     y = x[d2(m, c) <= Q._quantile(0.975, Q.P)]
-    return y.mean(0), np.cov(y.T, bias=True) * Q.consistency(0.975) + f
+    return y.mean(0), np.cov(y.T, bias=True).reshape(Q.P, Q.P) * Q.consistency(0.975) + f
+
+
+def model(rows, min_group):
+    """distance and kept of every row (lang, source, base_failed, x) by plain loops."""
+    fit = [r for r in rows if not r[2]]
+    count = lambda f: sum(1 for r in fit if f(r))
+    known, out = {}, []
+    for lang, source, failed, x in rows:
+        if count(lambda r: r[:2] == (lang, source)) >= min_group:  # noqa: B023
+            key, mine = (lang, source), lambda r: r[:2] == (lang, source)  # noqa: B023, E731
+        elif count(lambda r: r[0] == lang) >= min_group:  # noqa: B023
+            key, mine = (lang,), lambda r: r[0] == lang  # noqa: B023, E731
+        else:
+            key, mine = (), lambda r: True
+        if key not in known:
+            known[key] = mcd(np.array([r[3] for r in fit if mine(r)]), Q.FLOOR) if any(map(mine, fit)) else None
+        if known[key] is None:
+            out.append((None, not failed))
+            continue
+        m, c = known[key]
+        d = float(np.sqrt(max(0.0, (x - m) @ np.linalg.inv(c) @ (x - m))))
+        out.append((d, not failed and d <= Q.CUTOFF))
+    return out
 
 
 def test_base_counts(odd, empty):
@@ -87,21 +113,41 @@ def documents(spark):
     return spark.read.parquet(f"{SF01}/documents.parquet")
 
 
-def test_estimates_equal_plain_loops(documents):
-    stats = Q.measured(documents)
-    rows, params = Q.estimates(stats, min_group=30)
-    got = {r["grp"]: r for r in params.collect()}
-    data = {}
-    for r in rows.where("not base_failed").collect():
-        data.setdefault(r["grp"], []).append([r[f"x{i}"] for i in range(Q.P)])
-    checked = 0
-    for g, x in data.items():
-        if len(x) >= 30:
-            m, c = mcd(np.array(x), Q.FLOOR)
-            assert np.allclose(got[g]["m"], m, atol=2e-3), g
-            assert np.allclose(np.array(got[g]["w"]).reshape(Q.P, Q.P) @ c, np.eye(Q.P), atol=0.05), g
-            checked += 1
-    assert checked >= 5 and set(got) == {g for g, x in data.items() if len(x) >= 30}
+@pytest.mark.parametrize("min_group", [30, Q.MIN_GROUP])
+def test_equals_plain_loops(documents, min_group):
+    """Groups of their own, whole languages, and distances and verdicts of every row."""
+    stats = Q.measured(documents).collect()
+    by = {r["doc_id"]: r for r in Q.quality(documents, min_group=min_group).collect()}
+    rows = [(r["lang"], r["source"], r["base_failed"], np.array([r[f"x{i}"] for i in range(Q.P)])) for r in stats]
+    for r, (d, kept) in zip(stats, model(rows, min_group)):
+        got = by[r["doc_id"]]
+        assert math.isclose(got["distance"], d, rel_tol=0.02, abs_tol=0.02), r["doc_id"]
+        assert got["kept"] == kept or abs(d - Q.CUTOFF) < 0.3
+    assert len(by) == len(stats)
+
+
+def test_small_tables_and_large_groups(table):
+    """A table of under 50 documents is judged by its own estimate, a pair of 50
+    and more by the pair's, rare pairs by their language's."""
+    rng = np.random.RandomState(3)
+    words = [f"w{i}" for i in range(400)]
+
+    def doc(i, lang, source, odd=False):
+        t = " ".join(words[j] for j in rng.randint(0, 400, 60 + i % 30))
+        return (i, t.replace(" ", " #$%& ") if odd else t, lang, source)
+
+    schema = "doc_id long, text string, lang string, source string"
+    small = [doc(i, None if i % 3 else "en", "s") for i in range(44)] + [doc(44, "en", "t", True)]
+    large = [doc(i, "en", "big") for i in range(60)] + [doc(100 + i, "en", f"s{i % 9}") for i in range(30)] + [doc(200, "fr", None), doc(201, "en", "s1", True)]
+    for data, bad in ((small, 44), (large, 201)):
+        docs = table(data, schema)
+        stats = Q.measured(docs).collect()
+        rows = [(r["lang"], r["source"], r["base_failed"], np.array([r[f"x{i}"] for i in range(Q.P)])) for r in stats]
+        got = {r["doc_id"]: r for r in Q.quality(docs).collect()}
+        for r, (d, kept) in zip(stats, model(rows, Q.MIN_GROUP)):
+            assert math.isclose(got[r["doc_id"]]["distance"], d, rel_tol=0.02, abs_tol=0.02) and got[r["doc_id"]]["kept"] == kept
+        assert [k for k, r in got.items() if not r["kept"]] == [bad]
+    assert [r["distance"] for r in Q.quality(table([(1, "too short", "en", "s")], schema)).collect()] == [None]
 
 
 def test_labels(spark, documents):
