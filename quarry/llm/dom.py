@@ -14,7 +14,7 @@ BLOCKS = frozenset("""address article aside blockquote body center dd details di
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead
 tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript iframe svg math head title textarea select option datalist button object canvas audio video".split())
+HIDDEN = frozenset("script style template noscript iframe svg head title textarea select option datalist button".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 HEAD = frozenset("base link meta title style script noscript template".split())
 ENDS_SAME = frozenset("option button select".split())  # a second one ends the first

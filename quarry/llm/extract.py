@@ -1,8 +1,11 @@
 """HTML main text by a tree-structured graphical model.
 
 Nodes are the block elements of a page, each content or not.  A node's own
-evidence is a sum of log odds of its features (element, words of class, id and
-role, length, share of link text); an edge holds the log odds of a child's
+evidence is a sum of log odds of its features (element, names in class, id and
+role, length, share of link text); a name is a whole class or id, hashed, and
+tells what it is only if all of its parts do (``ad-box``, ``site-footer``; not
+``related-work`` or ``tags-intro``) and no other name of the element says the
+opposite; an edge holds the log odds of a child's
 label given its parent's (or that the parent is the page), one table for
 children that say by element or class what they are, one for plain ones.  Sum-product messages go up from the leaves and down
 from the root, which gives every node's exact marginal; the text runs of nodes
@@ -21,8 +24,10 @@ rows; an empty table gives an empty result.
 """
 from __future__ import annotations
 
+import functools
 import math
 import re
+import zlib
 from collections import Counter
 
 import pyarrow as pa
@@ -37,9 +42,15 @@ OTHER_WORDS = {"nav", "navbar", "navigation", "menu", "header", "footer", "sideb
                "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "comment", "comments",
                "reply", "replies", "respond", "disqus", "share", "social", "related", "recommended", "breadcrumb", "breadcrumbs",
                "newsletter", "subscribe", "signup", "login", "search", "form", "widget", "pagination", "copyright", "masthead",
-               "contentinfo", "complementary", "dialog", "toolbar", "tags", "meta"}
+               "contentinfo", "complementary", "dialog", "toolbar"}
 CONTENT_WORDS = {"article", "content", "post", "entry", "story", "body", "main", "text", "page"}
+# fixed values: name parts that say nothing of their own
+NEUTRAL_WORDS = {"site", "page", "main", "top", "bottom", "left", "right", "box", "block", "bar", "area", "section", "container", "wrapper", "wrap",
+                 "inner", "outer", "slot", "unit", "list", "item", "items", "links", "link", "button", "buttons", "row", "col", "global", "primary",
+                 "secondary", "body", "content", "text", "posts", "post", "articles", "article", "the", "id", "js", "is", "has"}
 _WORD = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[^\s]+")
+NAME_BUCKETS = 4096
 
 # pages labelled by hand: the text of content blocks starts with "C:"
 EXAMPLES = (
@@ -57,24 +68,37 @@ SMOOTH = 0.5
 EDGES = tuple(f"{a}:{b}" for a in ("telling", "plain") for b in ("page", "0", "1"))
 
 
+def _kinds(name: str) -> set[str]:
+    """What a class, id or role says: other, content, or nothing."""
+    parts = _WORD.findall(name)
+    if any(p in OTHER_WORDS for p in parts):
+        return {"other"} if all(p in OTHER_WORDS or p in NEUTRAL_WORDS for p in parts) else set()
+    return {"content"} if any(p in CONTENT_WORDS for p in parts) else set()
+
+
+@functools.lru_cache(1 << 16)
+def names(words: str) -> tuple[str, frozenset]:
+    """(what the names of an element say together, their hash buckets)."""
+    found = _NAME.findall(words)
+    kinds = set().union(*map(_kinds, found)) if found else set()
+    said = kinds.pop() if len(kinds) == 1 else ""
+    return said, frozenset(zlib.crc32(re.sub("[0-9]+", "", x).encode("utf-8", "replace")) % NAME_BUCKETS for x in found)
+
+
 def features(n: Node) -> list[str]:
-    words = set(_WORD.findall(n.words))
+    said, buckets = names(n.words)
     size = sum(len(t) for _, t, _ in n.runs)
     links = sum(k for _, _, k in n.runs)
-    out = [f"tag:{n.tag}"]
-    out += [f"word:{w}" for w in sorted(words & (OTHER_WORDS | CONTENT_WORDS))]
-    if words & OTHER_WORDS:
-        out.append("other words")
-    elif words & CONTENT_WORDS:
-        out.append("content words")
+    out = [f"tag:{n.tag}", *(f"name:{x}" for x in sorted(buckets))]
+    if said:
+        out.append(f"{said} names")
     if size:
         out += [f"size:{min(4, int(math.log2(size + 1)) // 2)}", f"links:{0 if not links else 1 + (2 * links >= size)}"]
     return out
 
 
 def edge_kind(nodes: list[Node], n: Node, parent_label: int) -> str:
-    words = set(_WORD.findall(n.words))
-    telling = n.tag in OTHER_TAGS or n.tag in CONTENT_TAGS or words & OTHER_WORDS or words & CONTENT_WORDS
+    telling = n.tag in OTHER_TAGS or n.tag in CONTENT_TAGS or names(n.words)[0]
     return ("telling" if telling else "plain") + (":page" if n.parent == 0 else f":{parent_label}")
 
 
@@ -82,9 +106,8 @@ def weak_labels(nodes: list[Node]) -> list[int]:
     """1 content, 0 not, by the nearest telling ancestor or the node itself."""
     out = []
     for n in nodes:
-        words = set(_WORD.findall(n.words))
         up = out[n.parent] if n.parent >= 0 else 0
-        if n.tag in OTHER_TAGS or words & OTHER_WORDS:
+        if n.tag in OTHER_TAGS or names(n.words)[0] == "other":
             out.append(0)
         elif n.tag in CONTENT_TAGS and not (n.parent >= 0 and _commenting(nodes, n.parent)):
             out.append(1)
@@ -95,7 +118,7 @@ def weak_labels(nodes: list[Node]) -> list[int]:
 
 def _commenting(nodes: list[Node], i: int) -> bool:
     while i >= 0:
-        if set(_WORD.findall(nodes[i].words)) & {"comment", "comments", "replies"}:
+        if names(nodes[i].words)[0] == "other" and set(_WORD.findall(nodes[i].words)) & {"comment", "comments", "replies"}:
             return True
         i = nodes[i].parent
     return False
@@ -112,7 +135,7 @@ def hand_labels(nodes: list[Node]) -> list[int]:
         if p >= 0:
             good[p] += good[i]
             bad[p] += bad[i]
-    return [int(i > 0 and g > 0 and (g > b or bool(set(_WORD.findall(n.words)) & CONTENT_WORDS) or n.tag in CONTENT_TAGS))
+    return [int(i > 0 and g > 0 and (g > b or names(n.words)[0] == "content" or n.tag in CONTENT_TAGS))
             for i, (n, g, b) in enumerate(zip(nodes, good, bad))]
 
 

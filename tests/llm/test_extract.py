@@ -80,7 +80,7 @@ def test_hidden_elements_left_open(model):
                    "<body><button>A<button>B</button>", "<body><datalist><option>A<option>B</datalist>", "<body><div><button>A</div><button>B</button>"):
         assert X.main_text(f"{before}{article}</body>", model) == want, before
     for inside in ("<select><option>A<option>B</select>", "<button><div>menu</button>", "<svg><foreignObject><div>x</div></foreignObject></svg>",
-                   "<object><object>a</object>b</object>", "<button>A <svg><text>b</svg> c</button>"):
+                   "<button>A <svg><text>b</svg> c</button>"):
         assert X.main_text(f"<body><article><p>{body}</p>{inside}<p>{body}</p></article></body>", model) == want, inside
 
 
@@ -110,3 +110,54 @@ def test_odd_rows(spark, table, model):
     none = table([], SCHEMA)
     assert X.extract(none, X.train(none)).count() == 0
     assert X.fit(Counter())["edge"]
+
+
+def test_names_inside_an_article(model):
+    """Sections of an article stay whatever their names are made of; formulas
+    and fallback texts are text; adverts and the like go."""
+    body = "Words of the article that go on, and on, with more of them. " * 4
+    want = body.strip()
+    for attrs in ('class="related-work"', 'class="search-results-analysis"', 'class="tags-intro"', 'class="content meta"', 'id="comment-on-method"',
+                  'class="form-of-government"', 'class="alert-fatigue"', 'class="social-history"', 'class="header-files"'):
+        page = f"<body><nav><a href=/>x</a></nav><article><p>{body}</p><section {attrs}><h2>Head</h2><p>{body}</p></section><p>{body}</p></article><footer>f</footer></body>"
+        assert X.main_text(page, model) == f"{want} Head {want} {want}", attrs
+        assert X.main_text(f"<body><article {attrs}><p>{body}</p></article></body>", model) == want, attrs
+    for inline in ("<math><mi>x</mi><mo>+</mo><mn>1</mn></math>", "<canvas>x+1</canvas>", "<object data=a>x+1</object>"):
+        assert X.main_text(f"<body><article><p>{body} so {inline} holds.</p></article></body>", model) == f"{want} so x+1 holds.", inline
+    for attrs in ('class="ad"', 'class="ad-box"', 'id="site-footer"', 'class="comments"', 'class="cookie-notice"', 'class="share-buttons"', 'class="ad-slot-3"'):
+        page = f"<body><article><p>{body}</p><div {attrs}><p>Buy this now, and more of it.</p></div><p>{body}</p></article></body>"
+        assert X.main_text(page, model) == f"{want} {want}", attrs
+
+
+def _plain(html_text):
+    """The article of a page of the supplied tables: the text between the tags
+    of <article>, by regular expressions."""
+    import html
+    a = re.search(r"<article>(.*?)(</article>|\Z)", html_text, re.S)
+    if not a:
+        return ""
+    t = re.sub(r"<[^<>]*\Z", "", a.group(1))
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", t))).split())
+
+
+def test_query_against_plain_texts(spark):
+    """op9_html on a whole table, text for text."""
+    from quarry.llm.queries import QUERIES
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF01}/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in QUERIES["op9_html"](spark, SF01).collect()}
+    assert set(got) == set(pages)
+    same = sum(got[p]["text"] == _plain(h) and got[p]["n_chars"] == len(got[p]["text"]) for p, h in pages.items())
+    assert same >= 0.98 * len(pages)
+
+
+def test_without_semantic_elements(spark, model):
+    """Held-out pages whose semantic elements are made plain, with names in
+    their place that the training pages do not have."""
+    pages = spark.read.parquet(f"{SF001}/pages.parquet").collect()
+    same = 0
+    for r in pages:
+        h = r["html"]
+        for tag, name in (("article", "entry-content"), ("nav", "main-menu"), ("footer", "site-footer"), ("header", "page-header"), ("aside", "sidebar-right")):
+            h = re.sub(rf"<{tag}\b[^>]*>", f'<div class="{name}">', h).replace(f"</{tag}>", "</div>")
+        same += X.main_text(h, model) == _plain(r["html"])
+    assert same >= 0.98 * len(pages)
