@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from quarry.functions.fmt import format_ms, format_seconds
 from quarry.functions.keys import cache_key_kwargs, cache_key_md5, cache_key_prefixed
 from quarry.operators.cache import answer_with_cache, clear_marker, entries, ttl_replay
+from quarry.operators.cache_log import append_entries, read_log
 from quarry.operators.metrics import (
     bench_stats, cost, counters, docs_histogram, latency_blend, latency_histogram, slow_queries, stage_split_long,
 )
 from quarry.plans.registry import register
+from quarry.session import scratch_path
 from quarry.sources.tables import load_table
 
 R = 6
@@ -106,7 +108,7 @@ CLEARED_AT = "2024-01-05 00:00:00"
 CACHE_TTL_DAYS = 7
 
 
-@register("cache_lookup_union", f"""
+_LOOKUP_SQL = f"""
 WITH c AS (
   SELECT md5(user_id || ':' || event_type) AS key, ts AS set_at, ts + INTERVAL {CACHE_TTL_DAYS} DAY AS expires_at,
          event_id AS seq, 'answer#' || event_id AS payload
@@ -124,13 +126,22 @@ SELECT event_id,
        CASE WHEN payload IS NOT NULL THEN true WHEN event_id = leader THEN false ELSE true END AS from_cache,
        CASE WHEN payload IS NOT NULL THEN 'cache' WHEN event_id = leader THEN 'computed' ELSE 'batch' END AS served_by
 FROM qh LEFT JOIN ld USING (key)
-""")
+"""
+
+
+@register("cache_lookup_union", _LOOKUP_SQL)
 def q_cache_lookup_union(spark, sf_dir):
     """H4-H7 + U2.  Requests before the batch time were answered and stored
     (errors not stored) with a 7-day TTL; the cache was cleared on Jan 5;
     every later request is asked in one batch at the batch time: live
     entries serve hits, the first request of an uncached key is computed,
     repeats in the batch are served from it."""
+    batch, log = _asked_and_stored(spark, sf_dir)
+    return _served(batch, log)
+
+
+def _asked_and_stored(spark, sf_dir):
+    """(the requests of the batch, the log of earlier ones)."""
     ev = load_table(spark, sf_dir, "events")
     keyed = ev.withColumn("key", F.md5(F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("event_type"))))
     past = keyed.where(F.col("ts") < F.lit(BATCH_AT).cast("timestamp_ntz")).withColumn("error",
@@ -139,7 +150,10 @@ def q_cache_lookup_union(spark, sf_dir):
                   ttl_seconds=CACHE_TTL_DAYS * 86400, seq=F.col("event_id"), error_col="error")
     log = log.unionByName(clear_marker(spark, CLEARED_AT))
     batch = keyed.where(F.col("ts") >= F.lit(BATCH_AT).cast("timestamp_ntz")).select("event_id", "key", "ts")
+    return batch, log
+
 
+def _served(batch, log):
     def compute(leaders):
         return leaders.select("event_id", F.concat(F.lit("answer#"), F.col("event_id").cast("string")).alias("payload"))
 
@@ -147,6 +161,17 @@ def q_cache_lookup_union(spark, sf_dir):
     return out.select("event_id", "payload", "from_cache", "served_by")
 
 
+@register("cache_log_lookup", _LOOKUP_SQL)
+def q_cache_log_lookup(spark, sf_dir):
+    """H4-H6 over a stored log of two batches, before the clearing and with it;
+    the lookup reads the days and buckets that can hold live entries."""
+    batch, log = _asked_and_stored(spark, sf_dir)
+    path, cleared = scratch_path(spark, "cache-log"), F.lit(CLEARED_AT).cast("timestamp_ntz")
+    append_entries(log.where(F.col("set_at") < cleared), path, "1")
+    append_entries(log.where(F.col("set_at") >= cleared), path, "2")
+    return _served(batch, read_log(spark, path, BATCH_AT, batch))
+
+
 # --------------------------------------------------------------------------- #
 # metrics
 # --------------------------------------------------------------------------- #
