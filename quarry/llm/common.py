@@ -9,10 +9,12 @@ operators that number the same rows twice store them once.
 """
 from __future__ import annotations
 
+import gc
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.session import scratch_path
+from quarry.session import remove_path, scratch_path
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -68,7 +70,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     from stored rows, so a lost executor costs one re-read, not a re-run."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and nothing will read again, and let
+    the driver drop finished plans, with which Spark removes their shuffle files."""
+    for t in tables:
+        remove_path(t.sparkSession, t.written_at)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def small(df: DataFrame, limit_bytes: int, row_bytes: int) -> bool:

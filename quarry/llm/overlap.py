@@ -3,30 +3,34 @@
 Texts are sets of hashed ``shingle``-word windows (A-Z lower-cased; fewer words
 give one window), put in one global order, that of the hashes.
 
-1. Texts with the same set are one node.  A set of n items whose partners share
-   at least T = ceil(percent * n / 100) of them keeps its head, the first
-   n - T + x items (x = n div 20, at least 1): of two linked sets the first x
-   common items (x of the smaller) lie in both heads.
+1. Texts with the same set are one node.  Partners of a set of n items share at
+   least T = ceil(percent * n / 100) of them, so of two linked sets the first x
+   common items (x of the smaller) lie in the heads of both, a head being the
+   first n - T + x items.  Short heads (x = n div 20) tell which nodes occur in x
+   lists of more than one node; the others, most texts that merely share a
+   passage too, leave here.  The nodes left get longer heads (x = n div 5).
 2. Inverted lists hold the nodes by the items of their heads.  Lists of one node
-   go, then nodes in fewer than x lists, so texts that merely share a passage
-   leave here.
+   go, then nodes in fewer than x lists.
 3. Search.  For every node, the nodes that occur in at least x of its lists are
    wanted.  DivideSkip: its L longest lists (L by the paper's rule, below x) are
    set aside; the short ones are gathered, and a heap merge that skips what can't
    reach x - L occurrences gives the candidates.  The long lists are never read:
    whether they hold a candidate, and how many items beyond the heads are shared,
    is found by binary probes of the node's items in the candidate's sorted set.
-   Pairs with the required overlap remain.
-4. ``overlap_groups`` needs classes only.  So the search runs on a growing index:
-   first with the most central member of each list, whose links join most of a
-   group of near copies; nodes already joined need not find each other again, so
-   lists of one class are closed and a node meets members of other classes only.
-   With the index of all members the search is whole.  Classes are the connected
-   components.  ``jaccard_join`` searches the whole index at once and returns
+   Before sets are fetched, parity bitmaps bound the overlap from above (of the
+   items that only one set has, each toggles one bit).  Pairs with the required
+   overlap remain.
+4. ``overlap_groups`` needs classes only, so nodes that are joined already need
+   not find each other.  First every node is compared with one hub, the node that
+   most of its lists hold as their most central member (the lists of a group of
+   near copies have the same one).  Then lists of one class are closed, nodes that
+   share less than T of all their items with nodes of other classes leave, and the
+   search runs for the rest: a node meets members of other classes only.  Classes
+   are the connected components.  ``jaccard_join`` searches all at once and returns
    every pair of nodes, with the membership of the rows.
 
-Scale.  Heads (a quarter of the items) are shuffled as numbers, texts are read
-twice; full sets move for nodes in candidate pairs.  A list is cut by its nodes
+Scale.  Short heads (a quarter of the items) are shuffled as numbers, texts are
+read twice; full sets move for pairs that the bitmaps leave.  A list is cut by its nodes
 into blocks of about ``LIST`` entries, and a node's lists are merged block by
 block, so a list of a third of all rows is in no one place.  Texts that are near
 to, but not within, the threshold of many others still cost a merge each.
@@ -44,13 +48,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarry.llm.common import sized, with_uid, written
+from quarry.llm.common import forget, sized, with_uid, written
 from quarry.llm.minhash import components, shingle_sets
 
-EXTRA = 20  # a head is longer by n div EXTRA than one common item needs
+SURVEY, SEARCH = 20, 5  # heads are longer by n div this than one common item needs
 LIST = 1024
-MU = 0.01  # weight of a probe in the rule for the long lists
-EACH = 64  # meetings a node may have before the whole index is searched
+MU = 0.1  # weight of a probe in the rule for the long lists
+BITS = 1024  # of a bitmap
 
 
 def least_overlap(n, percent: int):
@@ -58,8 +62,15 @@ def least_overlap(n, percent: int):
     return -(-n * percent // 100)
 
 
-def head_size(n: int, percent: int) -> int:
-    return min(n, n - least_overlap(n, percent) + max(1, n // EXTRA))
+def head_size(n: int, percent: int, extra: int) -> int:
+    return min(n, n - least_overlap(n, percent) + max(1, n // extra))
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Parities of the items by bit: the maps of two sets differ in no more bits
+    than the sets differ in items."""
+    at = (s >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=BITS).astype(np.uint8) & 1).view(np.int64)
 
 
 def _heads(k: int, percent: int):
@@ -71,19 +82,22 @@ def _heads(k: int, percent: int):
                 yield pa.RecordBatch.from_arrays(
                     [uid[i:i + 256], doc[i:i + 256], pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                     pa.array([s[:head_size(len(s), percent)].view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                     pa.array([s[:head_size(len(s), percent, SURVEY)].view(np.int64) for s in sets], pa.list_(pa.int64()))],
                     names=["uid", "doc_id", "n", "key", "head"])
     return fn
 
 
-def _full(k: int):
+def _full(k: int, percent: int):
     def fn(batches):
         for b in batches:
             node, texts = b.column("node"), b.column("text")
             for i in range(0, b.num_rows, 256):
                 sets = shingle_sets(texts[i:i + 256].to_pylist(), k)
                 yield pa.RecordBatch.from_arrays(
-                    [node[i:i + 256], pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
+                    [node[i:i + 256], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                     pa.array([s[:head_size(len(s), percent, SEARCH)].view(np.int64) for s in sets], pa.list_(pa.int64())),
+                     pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))],
+                    names=["node", "n", "items", "head", "bits"])
     return fn
 
 
@@ -148,68 +162,101 @@ def _probe(percent: int):
     return fn
 
 
-def _needed(n: Column, percent: int) -> Column:
+def _needed(n: Column, percent: int, extra: int) -> Column:
     """Lists that a set of n shares at least with any set it is linked to."""
     smallest = F.floor((n * percent + 99) / 100)
-    return F.greatest(F.lit(1), F.floor(smallest / EXTRA)).cast("int")
+    return F.greatest(F.lit(1), F.floor(smallest / extra)).cast("int")
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose bitmaps leave room for the required overlap."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"))
+    differ = sum((F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(BITS // 64)), F.lit(0))
+    most = F.floor((F.col("na") + F.col("nb") - differ) / 2)
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b"))
 
 
-def search(posts: DataFrame, index: DataFrame, sets: DataFrame, percent: int, once: bool) -> DataFrame:
-    """a, b, shared of linked nodes of different labels: every node of
-    ``posts`` (item, node, n, label) against ``index`` (part of it).  ``once``:
-    pairs from their smaller node only (the index holds all)."""
-    lists = written(index.groupBy("item").agg(F.count("*").alias("len")), "lists")
+def search(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, shared of linked nodes of different labels (a < b): every node of
+    ``posts`` (item, node, n, label) against all of them."""
+    lists = written(posts.groupBy("item").agg(F.count("*").alias("len")), "lists")
     longest = lists.agg(F.max("len")).first()[0]
     if not longest:
         return posts.sparkSession.createDataFrame([], "a long, b long, shared long")
     blocks = -(-longest // LIST)
     blk = F.pmod(F.xxhash64("node"), F.lit(blocks))
-    entries = index.groupBy("item", blk.alias("blk"), "label").agg(
+    entries = posts.groupBy("item", blk.alias("blk"), "label").agg(
         F.array_sort(F.collect_list(F.struct("node", "n"))).alias("held"))
     # divide: a node's lists by length (a set's own items, so a bounded window)
     own = Window.partitionBy("node")
-    t = _needed(F.col("n"), percent)
+    t = _needed(F.col("n"), percent, SEARCH)
     aside = F.least(t - 1, F.floor(t / (MU * F.log2(F.max("len").over(own)) + 1)))
     asked = (posts.join(lists, "item")
              .select("item", "node", "n", "label", (t - aside).cast("int").alias("t"), aside.alias("aside"),
                      F.row_number().over(own.orderBy(F.desc("len"), "item")).alias("rank"))
              .where("rank > aside").select("item", F.col("node").alias("q"), F.col("n").alias("nq"), F.col("label").alias("lq"), "t"))
-    fits = lambda x: ((x["n"] * 100 >= F.col("nq") * percent) & (F.col("nq") * 100 >= x["n"] * percent)
-                      & ((x["node"] > F.col("q")) if once else F.lit(True)))
+    fits = lambda x: ((x["node"] > F.col("q")) & (x["n"] * 100 >= F.col("nq") * percent)
+                      & (F.col("nq") * 100 >= x["n"] * percent))
     met = (asked.join(entries, "item").where("label <> lq")
            .select("q", "blk", "t", F.transform(F.filter("held", fits), lambda x: x["node"]).alias("held")).where(F.size("held") > 0))
     # one node's lists within one block of nodes
     gathered = (met.groupBy("q", "blk").agg(F.first("t").alias("t"), F.collect_list("held").alias("lists"))
                 .where(F.size("lists") >= F.col("t")).select(F.col("q").alias("node"), "t", "lists"))
-    pairs = written(gathered.mapInArrow(_merge, "a long, b long"), "pairs")
+    return linked(gathered.mapInArrow(_merge, "a long, b long"), sets, percent)
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, shared of the pairs with the required overlap."""
+    pairs = written(_possible(pairs, sets, percent), "pairs")
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b"))
     return written(both.mapInArrow(_probe(percent), "a long, b long, shared long"), "links")
 
 
-def _open(posts: DataFrame, percent: int) -> DataFrame:
-    """Lists of more than one label, and of these the nodes in enough lists."""
-    span = posts.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("item")
-    now = written(posts.join(written(span, "span").hint("merge"), "item"), "open")
-    alive = now.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= _needed(F.col("n"), percent))
-    return written(now.join(sized(written(alive.select("node"), "alive"), 16), "node"), "open")
+def _enough(posts: DataFrame, percent: int, extra: int) -> DataFrame:
+    """Nodes in as many of the lists as a link needs."""
+    per = posts.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    return written(per.where(F.col("c") >= _needed(F.col("n"), percent, extra)).select("node"), "alive")
+
+
+def _several(posts: DataFrame, by: str) -> DataFrame:
+    """Rows of the lists that hold more than one value of ``by``."""
+    span = posts.groupBy("item").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).where("lo < hi").select("item")
+    return written(posts.join(written(span, "span").hint("shuffle_hash"), "item"), "posts")
+
+
+def _open(posts: DataFrame, percent: int, by: str) -> DataFrame:
+    """Lists of more than one ``by``, and of these the nodes in enough lists."""
+    now = _several(posts, by)
+    out = written(now.join(sized(_enough(now, percent, SEARCH), 16), "node"), "open")
+    forget(now)
+    return out
+
+
+def _listed(heads: DataFrame) -> DataFrame:
+    """item, node, n of the items that more than one node has."""
+    posts = heads.select(F.explode("head").alias("item"), "node", "n")
+    common = written(posts.groupBy("item").agg(F.count("*").alias("c")).where("c > 1").select("item"), "common")
+    return posts.join(common.hint("shuffle_hash"), "item")
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int):
-    """(rows, membership of rows, open posts, full sets of their nodes)."""
+    """(membership of rows, open posts, full sets of their nodes)."""
     src = with_uid(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     signed = written(src.mapInArrow(_heads(shingle, percent), "uid long, doc_id long, n long, key binary, head array<long>"), "heads")
     nodes = written(signed.where("n > 0").groupBy("key").agg(F.min("uid").alias("node")), "nodes")
-    rows = (signed.select("uid", "doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key"))
-            .join(nodes, "key", "left").select("uid", "doc_id", "n", F.coalesce("node", "uid").alias("node")))
+    some = signed.where("n > 0").select("uid", "doc_id", "n", "key").join(nodes, "key").select("uid", "doc_id", "n", "node")
+    rows = written(some.unionByName(signed.where("n = 0").select("uid", "doc_id", "n", F.col("uid").alias("node"))), "rows")
     heads = signed.select(F.col("uid").alias("node"), "n", "head").join(sized(nodes.select("node"), 16), "node")
-    posts = heads.select(F.explode("head").alias("item"), "node", "n")
-    common = posts.groupBy("item").agg(F.count("*").alias("c")).where("c > 1").select("item")
-    shared = written(posts.join(written(common, "common").hint("merge"), "item").withColumn("label", F.col("node")), "posts")
-    now = _open(_open(shared, percent), percent)
-    used = written(now.select(F.col("node").alias("uid")).distinct(), "used")
-    sets = written(src.join(sized(used, 16), "uid", "left_semi").select(F.col("uid").alias("node"), "text")
-                   .mapInArrow(_full(shingle), "node long, items binary"), "sets")
+    short = written(_listed(heads).select("node", "n"), "short")  # one row a list
+    used = _enough(short, percent, SURVEY)
+    forget(signed, short)
+    sets = written(src.join(sized(used.withColumnRenamed("node", "uid"), 16), "uid", "left_semi").select(F.col("uid").alias("node"), "text")
+                   .mapInArrow(_full(shingle, percent), "node long, n long, items binary, head array<long>, bits array<long>"), "sets")
+    posts = written(_listed(sets), "posts")
+    now = _open(posts, percent, "node")
+    forget(posts)
     return rows, now, sets
 
 
@@ -219,47 +266,55 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     100 * intersection >= percent * union, and uid, doc_id, n_shingles, node of
     every row (rows of one node have equal sets)."""
     rows, now, sets = _prepared(docs, id_col, text_col, shingle, percent)
-    links = search(now, now, sets, percent, True)
+    links = search(now.withColumn("label", F.col("node")), sets, percent)
     return links.toDF("node_a", "node_b", "shared"), rows.withColumnRenamed("n", "n_shingles")
 
 
-def _labels(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """node, label of the nodes in links."""
-    size = now.count()
-    if not size:
-        return None
+def _hubs(now: DataFrame) -> DataFrame:
+    """a, b: every node with the node that most of its lists have as their hub,
+    the member that lies in most and longest lists."""
     weight = now.groupBy("item").agg(F.count("*").alias("c"))
-    most = weight.agg(F.max("c")).first()[0]
     score = written(now.join(weight, "item").groupBy("node").agg(F.sum("c").alias("score")), "scores")
-    label, slots = None, 1
-    while True:
-        left = now.groupBy("item", "label").agg(F.count("*").alias("k")).groupBy("item").agg(
-            ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("x")).agg(F.sum("x")).first()[0] or 0
-        if not left:
-            return label
-        last = slots > 1 and left <= EACH * size or slots >= most
-        index = now
-        if not last:  # the most central node of each list, or of each of its slots
-            slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
-            hubs = now.join(score, "node").groupBy("item", slot.alias("slot")).agg(
-                F.max_by("node", F.struct("score", -F.col("node"))).alias("node")).select("node").distinct()
-            index = now.join(sized(written(hubs, "hubs"), 16), "node", "left_semi")
-        links = search(now, index, sets, percent, last)
-        if label is None:
-            label = components(links.select("a", "b"))
-        else:
-            at = lambda x: label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
-            classes = (links.join(at("a"), "a", "left").join(at("b"), "b", "left")
-                       .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-            merged = components(classes)
-            moved = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
-            known = label.unionByName(merged.select("node", F.col("node").alias("label")).join(
-                sized(label.select("node"), 16), "node", "left_anti"))
-            label = written(known.join(sized(moved, 16), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        if last:
-            return label
-        now = now.drop("label").join(sized(label, 16), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        now, slots = _open(now, percent), slots * 4
+    hub = written(now.select("item", "node").join(sized(score, 24), "node").groupBy("item").agg(
+        F.max_by("node", F.struct("score", -F.col("node"))).alias("hub")), "hubs")
+    held = now.select("item", "node").join(hub, "item").where("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("c"))
+    return held.groupBy("node").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("b")).select(F.col("node").alias("a"), "b")
+
+
+def _items(batches):
+    for b in batches:
+        for i in range(0, b.num_rows, 64):
+            part = b.slice(i, 64)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("items")]
+            at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            rows = [part.column(c).take(at) for c in ("node", "n", "label")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *rows], names=["item", "node", "n", "label"])
+
+
+def _relabelled(now: DataFrame, label: DataFrame) -> DataFrame:
+    return now.join(sized(label, 16), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _labels(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, label of the nodes in links."""
+    label = components(linked(_hubs(now), sets, percent).select("a", "b"))
+    left = _open(_relabelled(now, label), percent, "label")
+    # of all its items a node must share enough with nodes of other classes
+    nodes = written(left.select("node", "label").distinct(), "left")
+    whole = sets.select("node", "n", "items").join(sized(nodes, 24), "node").mapInArrow(_items, "item long, node long, n long, label long")
+    span = written(whole.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("item"), "span")
+    shared = whole.select("item", "node", "n").join(span.hint("shuffle_hash"), "item")
+    near = _enough(shared, percent, 1)
+    rest = _open(left.join(sized(near, 16), "node"), percent, "label")
+    forget(left)
+    links = search(rest, sets, percent)
+    at = lambda x: label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    classes = (links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+               .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    merged = components(classes)
+    moved = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    known = label.unionByName(merged.select("node", F.col("node").alias("label")).join(sized(label.select("node"), 16), "node", "left_anti"))
+    return written(known.join(sized(moved, 16), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def overlap_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -267,7 +322,6 @@ def overlap_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of every row of ``docs``."""
     rows, now, sets = _prepared(docs, id_col, text_col, shingle, percent)
     label = _labels(now, sets, percent)
-    if label is not None:
-        rows = rows.join(label, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
+    rows = rows.join(sized(label, 16), "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
     least = written(rows.groupBy("node").agg(F.min("doc_id").alias("component_id")), "least")
     return rows.join(least.hint("merge"), "node").select("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id")

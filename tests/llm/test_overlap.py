@@ -117,8 +117,20 @@ def test_heads_hold_the_first_common_items():
             continue
         small = min(len(a), len(b))
         order = {x: r.random() for x in a | b}
-        heads = [set(sorted(s, key=order.get)[:O.head_size(len(s), percent)]) for s in (a, b)]
-        assert len(heads[0] & heads[1]) >= max(1, small // O.EXTRA)
+        for extra in (O.SURVEY, O.SEARCH):
+            heads = [set(sorted(s, key=order.get)[:O.head_size(len(s), percent, extra)]) for s in (a, b)]
+            assert len(heads[0] & heads[1]) >= max(1, small // extra)
+
+
+def test_bitmaps_bound_the_difference():
+    r = np.random.RandomState(2)
+    for n in (1, 5, 80, 900, 5000):
+        pool = r.randint(0, 1 << 62, 2 * n).astype(np.uint64) * np.uint64(3)
+        a, b = (np.unique(r.choice(pool, n)) for _ in range(2))
+        x, y = O.bitmap(a), O.bitmap(b)
+        assert len(x) == O.BITS // 64
+        differ = sum(bin(int(i) & (1 << 64) - 1).count("1") for i in x ^ y)
+        assert differ <= len(set(a) ^ set(b))
 
 
 def test_odd_rows(odd, empty):
@@ -140,6 +152,5 @@ def test_blocks_of_lists_change_nothing(table, monkeypatch):
     texts = _corpus(6)[:250]
     _, links = _links(texts)
     monkeypatch.setattr(O, "LIST", 3)
-    monkeypatch.setattr(O, "EACH", 0)  # every round of the growing index
     got = O.overlap_groups(table([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == _components(len(texts), links)
