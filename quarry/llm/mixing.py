@@ -12,12 +12,14 @@ source runs out; from there its slots stay empty, the others keep theirs, and
 ``mixed`` is false.
 
 Scale.  No sort over a whole source: documents are ranked in hash-range
-buckets of about ``bucket_docs`` rows, whose counts give the offsets.  The
-period has about ``period`` slots, whatever the corpus.
+buckets of about ``bucket_docs`` rows, whose counts give the offsets; buckets
+that hold far more (one id, or none, in many rows) are cut further by hash, id
+and row number.  The period has about ``period`` slots or as many as there are
+sources, whatever the corpus; its fold looks at every source in each slot, so
+some thousand sources take it minutes.
 
 Defined cases: a null source is a source of its own; weights of sources that
-have no documents take part in the schedule only if given; sources without a
-given weight get 1; ties in the hash go by id, then scan order; an empty table
+have no documents are left out; sources without a given weight get 1; ties in the hash go by id, then scan order; an empty table
 gives an empty result.
 """
 from __future__ import annotations
@@ -72,9 +74,15 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     total = docs.count()
     buckets = max(1, -(-total // bucket_docs))
     keyed = keyed.withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets, 32))
-    per = keyed.groupBy("source", "bucket").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offset = per.select("source", "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"))
+    # equal ids share a hash: an overfull bucket is cut by hash, id and stretches of rows
+    full = written(keyed.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > 4 * bucket_docs).select("bucket", F.lit(True).alias("cut")), "full")
+    keyed = (keyed.join(sized(full, 16), "bucket", "left")
+             .select("uid", "doc_id", "source", "h", "bucket", F.when(F.col("cut"), F.col("h")).alias("s1"),
+                     F.when(F.col("cut"), F.col("doc_id")).alias("s2"), F.when(F.col("cut"), F.expr(f"uid div {bucket_docs}")).alias("s3")))
+    cell = ["bucket", "s1", "s2", "s3"]
+    per = keyed.groupBy("source", *cell).agg(F.count("*").alias("c"))
+    before = Window.partitionBy("source").orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    offset = per.select("source", *cell, F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"))
     sizes = written(per.groupBy("source").agg(F.sum("c").alias("n")), "sizes")
     if weights is None:
         weights = root_weights(sizes, period)
@@ -82,9 +90,12 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
         weights = sizes.select(F.col("source").alias("s0")).join(weights, F.col("s0").eqNullSafe(F.col("source")), "left").select(
             F.col("s0").alias("source"), F.greatest(F.lit(1), F.coalesce("weight", F.lit(1))).cast("long").alias("weight"))
     plan = written(period_schedule(weights), "period")
-    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "uid")
+    within = Window.partitionBy("source", *cell).orderBy("h", "doc_id", "uid")
+    same = F.col("d.bucket") == F.col("o.bucket")
+    for c in ("source", "s1", "s2", "s3"):
+        same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}"))
     ranked = (keyed.withColumn("k", F.row_number().over(within) - 1).alias("d")
-              .join(offset.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.bucket") == F.col("o.bucket")))
+              .join(offset.alias("o"), same)
               .select("uid", "doc_id", "d.source", (F.col("k") + F.col("first")).alias("rank")))
     # the slot at which the first source has no block left
     share = plan.select(F.col("source").alias("ps"), "weight", "q", "j", "slot")

@@ -67,3 +67,23 @@ def test_written_order(spark, table, tmp_path):
 def test_only_native_plans(odd):
     plan = M.schedule(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    """Many rows of one id, or of none, are ranked like others, in bounded cells."""
+    import hashlib
+
+    from quarry.llm.common import with_uid
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "t", "en", "a" if i % 5 else None) for i in range(900)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = {r["uid"]: r for r in M.schedule(docs, block_docs=8, bucket_docs=20).collect()}
+    assert len(got) == 900
+    want = {}
+    for r in with_uid(docs).collect():
+        h = hashlib.md5(("" if r["doc_id"] is None else str(r["doc_id"])).encode()).hexdigest()
+        want.setdefault(r["source"], []).append((h, r["doc_id"] is not None, r["doc_id"] or 0, r["uid"]))
+    for source, keys in want.items():
+        for rank, (*_, uid) in enumerate(sorted(keys)):
+            assert (got[uid]["block"], got[uid]["place"]) == divmod(rank, 8)
