@@ -18,7 +18,7 @@ def test_matches_sql(spark, name):
 def test_all_registered():
     import __spark_entry__ as E
     names = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names
 
