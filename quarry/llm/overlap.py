@@ -17,9 +17,10 @@ give one window), put in one global order, that of the hashes.
    reach x - L occurrences gives the candidates.  The long lists are never read:
    whether they hold a candidate, and how many items beyond the heads are shared,
    is found by binary probes of the node's items in the candidate's sorted set.
-   Before sets are fetched, parity bitmaps bound the overlap from above (of the
-   items that only one set has, each toggles one bit).  Pairs with the required
-   overlap remain.
+   Parity bitmaps bound the overlap from above (of the items that only one set
+   has, each toggles one bit): a short one goes with the lists, so that a node
+   gathers only what can reach the required overlap, a long one is asked before
+   sets are fetched.  Pairs with the required overlap remain.
 4. ``overlap_groups`` needs classes only, so nodes that are joined already need
    not find each other.  First every node is compared with one hub, the node that
    most of its lists hold as their most central member (the lists of a group of
@@ -54,7 +55,7 @@ from quarry.llm.minhash import components, shingle_sets
 SURVEY, SEARCH = 20, 5  # heads are longer by n div this than one common item needs
 LIST = 1024
 MU = 0.1  # weight of a probe in the rule for the long lists
-BITS = 1024  # of a bitmap
+BITS, SHORT_BITS = 1024, 512  # of the bitmaps
 
 
 def least_overlap(n, percent: int):
@@ -73,6 +74,11 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(at, minlength=BITS).astype(np.uint8) & 1).view(np.int64)
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """The same of ``SHORT_BITS``: bits that meet are added."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, SHORT_BITS // 64), axis=0)
+
+
 def _heads(k: int, percent: int):
     def fn(batches):
         for b in batches:
@@ -96,8 +102,9 @@ def _full(k: int, percent: int):
                 yield pa.RecordBatch.from_arrays(
                     [node[i:i + 256], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
                      pa.array([s[:head_size(len(s), percent, SEARCH)].view(np.int64) for s in sets], pa.list_(pa.int64())),
-                     pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))],
-                    names=["node", "n", "items", "head", "bits"])
+                     pa.array([bitmap(s) for s in sets], pa.list_(pa.int64())),
+                     pa.array([folded(bitmap(s)) for s in sets], pa.list_(pa.int64()))],
+                    names=["node", "n", "items", "head", "bits", "mark"])
     return fn
 
 
@@ -168,13 +175,18 @@ def _needed(n: Column, percent: int, extra: int) -> Column:
     return F.greatest(F.lit(1), F.floor(smallest / extra)).cast("int")
 
 
+def _room(na: Column, nb: Column, a: Column, b: Column, bits: int, percent: int) -> Column:
+    """Whether two sets with these bitmaps can have the required overlap."""
+    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(bits // 64)), F.lit(0))
+    most = F.floor((na + nb - differ) / 2)
+    return 100 * most >= percent * (na + nb - most)
+
+
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose bitmaps leave room for the required overlap."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"))
-    differ = sum((F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(BITS // 64)), F.lit(0))
-    most = F.floor((F.col("na") + F.col("nb") - differ) / 2)
     return (pairs.join(side("a"), "a").join(side("b"), "b")
-            .where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b"))
+            .where(_room(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"), BITS, percent)).select("a", "b"))
 
 
 def search(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -186,20 +198,23 @@ def search(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return posts.sparkSession.createDataFrame([], "a long, b long, shared long")
     blocks = -(-longest // LIST)
     blk = F.pmod(F.xxhash64("node"), F.lit(blocks))
-    entries = posts.groupBy("item", blk.alias("blk"), "label").agg(
-        F.array_sort(F.collect_list(F.struct("node", "n"))).alias("held"))
+    marked = posts.join(sized(sets.select("node", "mark"), 120), "node")
+    # a list's members by label, so that a node passes over its own class at once
+    entries = (marked.groupBy("item", blk.alias("blk"), "label").agg(F.array_sort(F.collect_list(F.struct("node", "n", "mark"))).alias("held"))
+               .groupBy("item", "blk").agg(F.collect_list(F.struct("label", "held")).alias("classes")))
     # divide: a node's lists by length (a set's own items, so a bounded window)
     own = Window.partitionBy("node")
     t = _needed(F.col("n"), percent, SEARCH)
     aside = F.least(t - 1, F.floor(t / (MU * F.log2(F.max("len").over(own)) + 1)))
-    asked = (posts.join(lists, "item")
-             .select("item", "node", "n", "label", (t - aside).cast("int").alias("t"), aside.alias("aside"),
+    asked = (marked.join(lists, "item")
+             .select("item", "node", "n", "label", "mark", (t - aside).cast("int").alias("t"), aside.alias("aside"),
                      F.row_number().over(own.orderBy(F.desc("len"), "item")).alias("rank"))
-             .where("rank > aside").select("item", F.col("node").alias("q"), F.col("n").alias("nq"), F.col("label").alias("lq"), "t"))
+             .where("rank > aside").select("item", F.col("node").alias("q"), F.col("n").alias("nq"), F.col("label").alias("lq"), F.col("mark").alias("mq"), "t"))
     fits = lambda x: ((x["node"] > F.col("q")) & (x["n"] * 100 >= F.col("nq") * percent)
-                      & (F.col("nq") * 100 >= x["n"] * percent))
-    met = (asked.join(entries, "item").where("label <> lq")
-           .select("q", "blk", "t", F.transform(F.filter("held", fits), lambda x: x["node"]).alias("held")).where(F.size("held") > 0))
+                      & (F.col("nq") * 100 >= x["n"] * percent) & _room(F.col("nq"), x["n"], F.col("mq"), x["mark"], SHORT_BITS, percent))
+    others = F.filter("classes", lambda c: c["label"] != F.col("lq"))
+    held = F.array_sort(F.flatten(F.transform(others, lambda c: F.transform(F.filter(c["held"], fits), lambda x: x["node"]))))
+    met = asked.join(entries, "item").select("q", "blk", "t", held.alias("held")).where(F.size("held") > 0)
     # one node's lists within one block of nodes
     gathered = (met.groupBy("q", "blk").agg(F.first("t").alias("t"), F.collect_list("held").alias("lists"))
                 .where(F.size("lists") >= F.col("t")).select(F.col("q").alias("node"), "t", "lists"))
@@ -253,7 +268,7 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent
     used = _enough(short, percent, SURVEY)
     forget(signed, short)
     sets = written(src.join(sized(used.withColumnRenamed("node", "uid"), 16), "uid", "left_semi").select(F.col("uid").alias("node"), "text")
-                   .mapInArrow(_full(shingle, percent), "node long, n long, items binary, head array<long>, bits array<long>"), "sets")
+                   .mapInArrow(_full(shingle, percent), "node long, n long, items binary, head array<long>, bits array<long>, mark array<long>"), "sets")
     posts = written(_listed(sets), "posts")
     now = _open(posts, percent, "node")
     forget(posts)
