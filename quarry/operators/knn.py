@@ -15,24 +15,30 @@ Three physical plans, chosen by measured size, never by hope:
   streams through ``mapInPandas``, each task keeps a running top-k per
   question, and only ``(question, hit, d2)`` triples (questions x tasks x k)
   are shuffled to the final per-question window.  The corpus is never moved.
-* ``grid``             - neither side fits and there are equality keys: both
-  sides are hash-salted into blocks of bounded size inside a key, and each
-  cell ``(keys, qblock, vblock)`` is a bounded ``cogroup``.  The number of
-  blocks per key comes from per-key counts, so a hot key (one filter value or
-  one IVF list holding a third of the rows) is split into many cells instead
-  of landing in one task.
+* ``grid``             - neither side fits: each side is hash-dealt into blocks
+  of bounded size (inside a key, if there are equality keys), a task packs the
+  vectors of a block into one row, and each cell ``(keys, qblock, vblock)`` is a
+  bounded ``cogroup``.  The number of blocks comes from counts (per key), so a
+  hot key (one filter value or one IVF list holding a third of the rows) is
+  split into many cells instead of landing in one task.  A side is copied once
+  for every block of the other: no more than ``MIN_BLOCKS`` times while it fits
+  in that many blocks of ``BLOCK_BYTES``, so small blocks asked for do not
+  multiply the shuffle.
 * ``pivot``            - neither side fits and there is no key: vectors are
   assigned to their nearest pivot, a question first meets the lists that hold
   its first k vectors, then only those whose lower bound (distance to the
   pivot less the list's radius) does not pass its k-th distance.  Both steps
-  are the keyed grid on the list; the result is exact.
+  are the keyed grid on the list; the result is exact.  Some questions are
+  asked first; where the bounds would leave them more than ``PIVOT_SHARE`` of
+  the vectors to meet, the plain grid of blocks is taken, exact as well.
 
-A forced broadcast plan over the size limit raises.
+A forced broadcast plan over the size limit raises; ``streamed`` takes the query
+broadcast where the questions fit and else the plan without a broadcast.
 
-Inside a task the distances use |q|^2 + |x|^2 - 2 q.x as a matrix product to
-pre-select every candidate within a rounding bound of the k-th value (exact
-ties all kept), then the exact d2 = sum((q - x)^2) orders them, so ties are
-broken by id exactly as the SQL oracle does.
+Inside a task q.x - |x|^2 / 2 as a matrix product in single precision
+pre-selects, slice by slice, every candidate within a rounding bound of the
+k-th value so far (exact ties kept), then the exact d2 = sum((q - x)^2) in
+double orders them, so ties are broken by id exactly as the SQL oracle does.
 """
 from __future__ import annotations
 
@@ -41,14 +47,19 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from quarry.session import cut
+from quarry.session import cut, spread
 
 DEFAULT_BROADCAST_BYTES = 64 << 20
 MAX_PRUNE_KEYS = 10_000
-MAX_BLOCK_ELEMENTS = 5_000_000
+MAX_BLOCK_ELEMENTS = 2 << 20  # of a slice of products: 8 MB
 MAX_PIVOTS = 512
+PIVOT_SHARE, PIVOT_ASKED = 0.25, 256
+BLOCK_BYTES = 32 << 20  # of a block of vectors in a cell
+MIN_BLOCKS = 8
 
 
 # --------------------------------------------------------------------------- #
@@ -61,45 +72,110 @@ def _stack(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
 
 
+def _distinct(cids: np.ndarray, X: np.ndarray, kmax: int):
+    """The rows without those that cannot be a hit: of equal vectors the
+    ``kmax`` smallest ids."""
+    if len(X) <= kmax or not X.shape[1]:
+        return cids, X
+    raw = np.ascontiguousarray(X).view(np.dtype((np.void, X.itemsize * X.shape[1]))).ravel()
+    one, of = np.unique(raw, return_inverse=True)
+    if len(one) == len(X):
+        return cids, X
+    order = np.lexsort((cids, of))
+    of = of[order]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    at = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
+    keep = np.sort(order[at < kmax])
+    return cids[keep], X[keep]
+
+
+def _exact(Q: np.ndarray, rows: np.ndarray, X: np.ndarray, cols: np.ndarray, slab: int = 1 << 16) -> np.ndarray:
+    """d2 of the pairs (Q[rows], X[cols]) in double."""
+    out = np.empty(len(rows))
+    for a in range(0, len(rows), slab):
+        diff = Q[rows[a:a + slab]].astype(np.float64) - X[cols[a:a + slab]].astype(np.float64)
+        out[a:a + slab] = np.einsum("ij,ij->i", diff, diff)
+    return out
+
+
 def topk_block(qids: np.ndarray, Q: np.ndarray, ks: np.ndarray,
                cids: np.ndarray, X: np.ndarray, step: int = 512) -> pd.DataFrame:
     """Exact top-k of every question in ``Q`` over the rows of ``X``.
 
     Returns a frame (qid, cid, d2, _k) with at most ks[i] rows per question,
-    ordered by (d2, cid) inside each question.  The matrix-product distance
-    only pre-selects: every row within a rounding bound of the question's
-    k-th approximate distance is kept (all exact ties included, however
-    many), then the exact d2 decides with the id as tie-break.
+    ordered by (d2, cid) inside each question.  The matrix product only
+    pre-selects: q.x - |x|^2 / 2 falls as d2 rises, and every row of a slice
+    that comes within a rounding bound of the question's k-th hit so far is
+    kept, then the exact d2 decides with the id as tie-break.  Vectors that are
+    not finite are no hits and have none.
     """
-    nq, nc = len(Q), len(X)
-    if nq == 0 or nc == 0:
+    finite = np.isfinite(X).all(axis=1)
+    if not finite.all():
+        cids, X = cids[finite], X[finite]
+    if len(Q) == 0 or len(X) == 0:
         return pd.DataFrame({"qid": qids[:0], "cid": cids[:0], "d2": np.zeros(0),
                              "_k": np.zeros(0, dtype=np.int32)})
-    kmax = int(min(int(ks.max()), nc))
-    # bound the distance block (step x corpus rows) to ~5M doubles (40 MB)
-    step = max(1, min(step, int(MAX_BLOCK_ELEMENTS // nc)))
-    xn = np.einsum("ij,ij->i", X, X)
-    out_q, out_c, out_d, out_k = [], [], [], []
-    for s in range(0, nq, step):
-        Qs = Q[s:s + step]
-        qn = np.einsum("ij,ij->i", Qs, Qs)
-        approx = qn[:, None] + xn[None, :] - 2.0 * (Qs @ X.T)
-        kth = np.sort(np.partition(approx, kmax - 1, axis=1)[:, :kmax], axis=1)
-        # |approx - exact| is a few ulps of |q|^2 + |x|^2; twice a generous bound
-        eps = 1e-9 * (1.0 + qn + xn.max())
-        for r in range(len(Qs)):
-            kr = int(min(ks[s + r], nc))
-            cand = np.flatnonzero(approx[r] <= kth[r, kr - 1] + eps[r])
-            diff = Qs[r][None, :] - X[cand]
-            d2 = np.einsum("ij,ij->i", diff, diff)
-            cc = cids[cand]
-            order = np.lexsort((cc, d2))[:kr]
-            out_q.append(np.repeat(qids[s + r], len(order)))
-            out_c.append(cc[order])
-            out_d.append(d2[order])
-            out_k.append(np.repeat(np.int32(ks[s + r]), len(order)))
-    return pd.DataFrame({"qid": np.concatenate(out_q), "cid": np.concatenate(out_c),
-                         "d2": np.concatenate(out_d), "_k": np.concatenate(out_k)})
+    kmax = int(min(int(ks.max()), len(X)))
+    cids, X = _distinct(cids, X, kmax)
+    nc, dim = X.shape
+    kmax = min(kmax, nc)
+    xn = np.einsum("ij,ij->i", X, X, dtype=np.float64)
+    qn_all = np.einsum("ij,ij->i", Q, Q, dtype=np.float64)
+    top = max(xn.max(), np.nanmax(qn_all, initial=0.0, where=np.isfinite(qn_all)))
+    work = np.float32 if top < 1e30 else np.float64
+    # rounding of a product of dim + 1 terms: a few units of |q| |x| + |x|^2
+    unit = 4.0 * (dim + 8) * float(np.finfo(work).eps)
+    A = np.empty((nc, dim + 1), work)
+    A[:, :dim], A[:, dim] = X, -0.5 * xn
+    by_id = np.empty(nc, np.int64)  # ties by the place of the id
+    by_id[np.argsort(pd.Series(cids), kind="stable")] = np.arange(nc)
+    head = min(nc, max(1024, 4 * kmax))
+    slice_rows = 1024
+    step = max(1, min(step, MAX_BLOCK_ELEMENTS // max(head, slice_rows)))
+    bounds = [0, *range(head, nc, slice_rows), nc]
+    out_q, out_c, out_d = [], [], []
+    for s in range(0, len(Q), step):
+        Qs, qn = Q[s:s + step], qn_all[s:s + step]
+        n = len(Qs)
+        Qa = np.ones((n, dim + 1), work)
+        Qa[:, :dim] = Qs
+        d2, pos = np.full((n, kmax), np.inf), np.full((n, kmax), -1)
+        for a, b in zip(bounds, bounds[1:]):
+            near = Qa @ A[a:b].T
+            most = xn[a:b].max()
+            # and of d2 itself, whose ties in double are ties
+            err = unit * (np.sqrt(qn * most) + most) + (dim + 8) * 1e-15 * (qn + most) + 1e-30
+            if a == 0:
+                kth = np.partition(near, len(near[0]) - kmax, axis=1)[:, len(near[0]) - kmax]
+                floor = kth.astype(np.float64) - 2 * err
+            else:
+                floor = (qn - d2[:, -1]) / 2 - err
+            # rounded down, so that no row at the bound is lost
+            hit = np.flatnonzero(near >= np.nextafter(floor.astype(work), work(-np.inf))[:, None])
+            if not len(hit):
+                continue
+            rows, cols = np.divmod(hit, b - a)
+            cols = cols + a
+            some = np.unique(rows)
+            held = np.repeat(some, kmax), pos[some].ravel(), d2[some].ravel()
+            known = held[1] >= 0
+            rows, cols, dist = (np.concatenate(x) for x in zip((held[0][known], held[1][known], held[2][known]),
+                                                               (rows, cols, _exact(Qs, rows, X, cols))))
+            order = np.lexsort((by_id[cols], dist, rows))
+            rows, cols, dist = rows[order], cols[order], dist[order]
+            first = np.searchsorted(rows, rows)
+            at = np.arange(len(rows)) - first
+            keep = at < kmax
+            rows, cols, dist, at = rows[keep], cols[keep], dist[keep], at[keep]
+            d2[rows, at], pos[rows, at] = dist, cols
+        take = (pos >= 0) & (np.arange(kmax)[None, :] < np.asarray(ks[s:s + step])[:, None])
+        rows, at = np.nonzero(take)
+        out_q.append(rows + s)
+        out_c.append(pos[rows, at])
+        out_d.append(d2[rows, at])
+    of = np.concatenate(out_q)
+    return pd.DataFrame({"qid": qids[of], "cid": cids[np.concatenate(out_c)],
+                         "d2": np.concatenate(out_d), "_k": np.asarray(ks)[of].astype(np.int32)})
 
 
 def _merge_topk(frames: list[pd.DataFrame], once: bool = False) -> pd.DataFrame:
@@ -206,6 +282,8 @@ def knn_join(questions: DataFrame, corpus: DataFrame, k: int = 3, *,
 
     if strategy == "auto":
         strategy = choose_strategy(q, c, c_vec, broadcast_bytes, unique_questions, on)
+    elif strategy == "streamed":
+        strategy = choose_strategy(q, c, c_vec, broadcast_bytes, False, on)
     elif strategy in ("index_broadcast", "query_broadcast"):
         side = c if strategy == "index_broadcast" else q
         if not _fits(side, _vector_dim(c, c_vec) or 1, broadcast_bytes):
@@ -259,7 +337,7 @@ def _index_broadcast(spark, q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype):
                 r["rank"] = (r.groupby("qid", sort=False).cumcount() + 1).astype(np.int32)
                 yield r.drop(columns="_k").rename(columns={"qid": q_id, "cid": c_id})
 
-    out = q.mapInPandas(run, schema)
+    out = spread(q).mapInPandas(run, schema)
     return out.select(q_id, "rank", c_id, "d2")
 
 
@@ -290,34 +368,84 @@ def _query_broadcast(spark, q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype, on
             # running top-k of this task: at most (questions x k) rows leave it
             yield _merge_topk(frames, once).rename(columns={"qid": q_id, "cid": c_id})
 
-    return c.mapInPandas(run, _pairs_schema(q_id, c_id, qtype, ctype))
+    return spread(c).mapInPandas(run, _pairs_schema(q_id, c_id, qtype, ctype))
+
+
+def _float_type(df: DataFrame, vec: str):
+    """The numpy type that holds the vectors as they are."""
+    return np.float32 if df.schema[vec].dataType.elementType == T.FloatType() else np.float64
+
+
+def _packed(df: DataFrame, keys: Sequence[str], i: str, vec: str, k: str | None = None) -> DataFrame:
+    """(keys, _ids, _vecs[, _ks]): the vectors of a batch that share the keys
+    as one row; nothing is moved."""
+    dtype = _float_type(df, vec)
+    keys, rest = list(keys), [i] + ([k] if k else [])
+    names = ["_ids", "_ks"][:len(rest)]
+    schema = T.StructType([*[df.schema[x] for x in keys], *[T.StructField(n, T.ArrayType(df.schema[x].dataType)) for n, x in zip(names, rest)],
+                           T.StructField("_vecs", T.BinaryType())])
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of = b.select(keys).to_pandas().groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(of, kind="stable")
+            starts = np.flatnonzero(np.diff(of[order], prepend=-1))
+            ends = np.append(starts[1:], len(of))
+            b = b.take(pa.array(order))
+            lengths = pc.unique(pc.list_value_length(b.column(vec))).to_pylist()
+            if len(lengths) != 1:
+                raise ValueError(f"vectors of different lengths: {lengths}")
+            flat = b.column(vec).flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+            offsets = pa.array(np.append(starts, len(of)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(x).take(pa.array(starts)) for x in keys], *[pa.ListArray.from_arrays(offsets, b.column(x)) for x in rest],
+                 pa.array([flat[x * lengths[0]:y * lengths[0]].tobytes() for x, y in zip(starts, ends)], pa.binary())], names=schema.names)
+
+    return df.select(*keys, *rest, vec).mapInArrow(run, schema)
+
+
+def _unpacked(pdf: pd.DataFrame, dtype):
+    """(ids, vectors) of the packed rows of a cell."""
+    ids = np.concatenate(list(pdf["_ids"]))
+    raw = b"".join(pdf["_vecs"])
+    return ids, np.frombuffer(raw, dtype).reshape(len(ids), -1) if raw else np.zeros((len(ids), 0), dtype)
+
+
+def _blocks(n, asked: int, dim: int):
+    """The number of blocks for ``n`` rows (a column or a number)."""
+    most = max(1024, BLOCK_BYTES // (8 * max(1, dim)))
+    if isinstance(n, int):
+        return max(1, min(-(-n // asked), max(MIN_BLOCKS, -(-n // most))))
+    least = F.greatest(F.lit(MIN_BLOCKS), F.ceil(n / most))
+    return F.greatest(F.lit(1), F.least(F.ceil(n / asked), least)).cast("int")
 
 
 def _grid(q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype, q_block, c_block):
-    qn = q.groupBy(*on).agg(F.count("*").alias("_nq"))
-    cn = c.groupBy(*on).agg(F.count("*").alias("_nc"))
-    stats = qn.join(cn, on).select(
-        *on,
-        F.greatest(F.lit(1), F.ceil(F.col("_nq") / q_block)).cast("int").alias("_B"),
-        F.greatest(F.lit(1), F.ceil(F.col("_nc") / c_block)).cast("int").alias("_S"))
-    qx = q.join(stats, on)
-    cx = c.join(stats, on)
+    dim = _vector_dim(c, c_vec) or 1
+    if on:
+        qn = q.groupBy(*on).agg(F.count("*").alias("_nq"))
+        cn = c.groupBy(*on).agg(F.count("*").alias("_nc"))
+        stats = qn.join(cn, on).select(*on, _blocks(F.col("_nq"), q_block, dim).alias("_B"), _blocks(F.col("_nc"), c_block, dim).alias("_S"))
+        qx, cx = q.join(stats, on), c.join(stats, on)
+    else:
+        n_blocks = [F.lit(_blocks(side.count(), block, dim)).alias(n) for side, block, n in ((q, q_block, "_B"), (c, c_block, "_S"))]
+        qx, cx = q.select("*", *n_blocks), c.select("*", *n_blocks)
     # questions: own qblock, replicated over the vector blocks of their key
-    qx = (qx.withColumn("_qb", F.pmod(F.xxhash64(F.col(q_id)), F.col("_B")).cast("int"))
-            .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.col("_S") - 1)))
-            .drop("_B", "_S"))
+    qx = (_packed(qx.withColumn("_qb", F.pmod(F.xxhash64(F.col(q_id)), F.col("_B")).cast("int")), [*on, "_S", "_qb"], q_id, q_vec, "_k")
+          .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.col("_S") - 1))).drop("_S"))
     # vectors: own vblock, replicated over the question blocks of their key
-    cx = (cx.withColumn("_vb", F.pmod(F.xxhash64(F.col(c_id)), F.col("_S")).cast("int"))
-            .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_B") - 1)))
-            .drop("_B", "_S"))
+    cx = (_packed(cx.withColumn("_vb", F.pmod(F.xxhash64(F.col(c_id)), F.col("_S")).cast("int")), [*on, "_B", "_vb"], c_id, c_vec)
+          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_B") - 1))).drop("_B"))
     keys = on + ["_qb", "_vb"]
+    q_type, c_type = _float_type(q, q_vec), _float_type(c, c_vec)
 
     def cell(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({q_id: qpdf[q_id].iloc[:0], c_id: cpdf[c_id].iloc[:0], "d2": np.zeros(0),
-                                 "_k": np.zeros(0, dtype=np.int32)})
-        r = topk_block(qpdf[q_id].to_numpy(), _stack(qpdf[q_vec]), qpdf["_k"].to_numpy(),
-                       cpdf[c_id].to_numpy(), _stack(cpdf[c_vec]))
+            return pd.DataFrame({q_id: [], c_id: [], "d2": np.zeros(0), "_k": np.zeros(0, dtype=np.int32)})
+        qids, Q = _unpacked(qpdf, q_type)
+        r = topk_block(qids, Q, np.concatenate(list(qpdf["_ks"])), *_unpacked(cpdf, c_type))
         return r.rename(columns={"qid": q_id, "cid": c_id})
 
     return (qx.groupBy(*keys).cogroup(cx.groupBy(*keys))
@@ -326,7 +454,8 @@ def _grid(q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype, q_block, c_block):
 
 def _pivot(q, c, q_id, q_vec, c_id, c_vec, kmax, q_block, c_block):
     """Exact kNN without keys by pivot bounds; (q_id, c_id, d2, _k) pairs that
-    hold every question's k nearest."""
+    hold every question's k nearest.  The plain grid of blocks where bounds
+    prune too little."""
     spark = c.sparkSession
     n_lists = max(1, min(MAX_PIVOTS, math.ceil(math.sqrt(c.count()))))
     # any vectors do as pivots, the bounds make the result exact
@@ -343,6 +472,15 @@ def _pivot(q, c, q_id, q_vec, c_id, c_vec, kmax, q_block, c_block):
     lists = listed.groupBy("_list").agg(F.count("*").alias("_n"), F.max("_d").alias("_radius"))
     order = Window.partitionBy(q_id).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # n_lists rows a question
     bound = F.greatest(F.lit(0.0), F.sqrt("d2") - F.col("_radius"))
+    # how much is left to meet, by some questions; both plans are exact
+    asked = q.orderBy(F.xxhash64(q_id), q_id).limit(PIVOT_ASKED).select(F.monotonically_increasing_id().alias("_ask"), q_vec)
+    asked = cut(asked)
+    kth = (knn_join(asked, c, kmax, q_id="_ask", q_vec=q_vec, c_id=c_id, c_vec=c_vec, strategy="query_broadcast")
+           .groupBy("_ask").agg(F.sqrt(F.max("d2")).alias("_kth")))
+    met = (to_pivots(asked, "_ask", q_vec, n_lists).join(F.broadcast(lists), "_list").join(kth, "_ask")
+           .where(bound <= F.col("_kth")).agg(F.sum("_n")).first()[0] or 0)
+    if met > PIVOT_SHARE * asked.count() * listed.count():
+        return _grid(q, c, q_id, q_vec, c_id, c_vec, [], q.schema[q_id].dataType, c.schema[c_id].dataType, q_block, c_block)
     plan = cut(to_pivots(q, q_id, q_vec, n_lists).join(F.broadcast(lists), "_list")
                .withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
                .select(q_id, "_list", "_before", bound.alias("_low")).join(q.select(q_id, "_k"), q_id))
@@ -462,6 +600,8 @@ def ivf_knn_join(questions: DataFrame, centroids: DataFrame, assigned: DataFrame
     g = all_groups if nprobe >= all_lists else min(all_groups, n_groups or -(-2 * nprobe // per_group))
     held = cut(assigned.groupBy("list_id", *on).agg(F.count("*").alias("_held")))
     want = F.coalesce(F.col(k_col).cast("int"), F.lit(k)) if k_col else F.lit(k)
+    # a vector that is in several lists is one hit: lists that hold k vectors may hold fewer different ones
+    copies = (assigned.groupBy(c_id).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1) if kw.get("once") else 1
     asked = questions.select(q_id, q_vec, *([k_col] if k_col else []), *on)
     rest, chosen, n = asked, None, nprobe
     while True:
@@ -471,7 +611,7 @@ def ivf_knn_join(questions: DataFrame, centroids: DataFrame, assigned: DataFrame
             chosen = probes if chosen is None else chosen.unionByName(probes)
             break
         full = cut(at.groupBy(q_id).agg(F.sum("_held").alias("_sum"), F.first(want).alias("_want"))
-                   .where(F.col("_sum") >= F.col("_want")).select(q_id))
+                   .where(F.col("_sum") >= copies * F.col("_want")).select(q_id))
         done = probes.join(full, q_id, "left_semi")
         chosen = done if chosen is None else chosen.unionByName(done)
         rest = cut(rest.join(full, q_id, "left_anti"))

@@ -52,11 +52,12 @@ def knn_exact_top3(spark, sf_dir):
 
 # The same query through the other two physical plans (the automatic choice
 # at this scale is the index broadcast): corpus streamed past a broadcast
-# question batch, and the hash-salted grid with small blocks (many cells).
+# question batch (while the questions fit one), and the hash-salted grid with
+# small blocks (many cells).
 @register("knn_exact_top3_streamed", _KNN_SQL.format(on="TRUE", where="WHERE rank <= 3"))
 def knn_exact_top3_streamed(spark, sf_dir):
     hits = knn_join(embedding_questions(spark, sf_dir), embedding_corpus(spark, sf_dir), 3,
-                    q_id="qid", q_vec="q_vec", c_id="vec_id", c_vec="embedding", strategy="query_broadcast")
+                    q_id="qid", q_vec="q_vec", c_id="vec_id", c_vec="embedding", strategy="streamed")
     return _rounded(hits)
 
 

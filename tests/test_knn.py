@@ -149,3 +149,39 @@ def test_ivf_probes_until_k(spark):
     for r in ivf_knn_join(qq, cents, assigned, 4, 1, q_id="qid", q_vec="q_vec", c_id="vec_id", on=["rare"]).collect():
         got[r.qid] = got.get(r.qid, 0) + 1
     assert got == {i: min(4, held[i % 100]) for i in range(40)}
+
+
+def test_small_blocks_do_not_multiply_the_shuffle(spark):
+    """However small the blocks asked for, a side is copied MIN_BLOCKS times at most."""
+    from quarry.operators.knn import MIN_BLOCKS, _blocks
+    assert _blocks(120_000, 16, 64) == MIN_BLOCKS and _blocks(100, 16, 64) == 7 and _blocks(0, 16, 64) == 1
+    assert _blocks(10_000_000, 16, 64) == -(-10_000_000 // 65_536)
+    n = spark.createDataFrame([(120_000,), (100,)], "n long")
+    assert [r[0] for r in n.select(_blocks(F.col("n"), 16, 64)).collect()] == [MIN_BLOCKS, 7]
+
+
+def test_streamed_goes_on_over_the_limit(spark):
+    q, e = _tables(spark)
+    q, e = q.where("qid < 40"), e.where("vec_id < 200")
+    options = {"q_id": "qid", "q_vec": "q_vec", "c_id": "vec_id"}
+    assert _rows(knn_join(q, e, 3, strategy="streamed", broadcast_bytes=1000, **options)) == _rows(knn_join(q, e, 3, **options))
+
+
+def test_topk_block_ties_copies_and_odd_values():
+    """The single-precision product only pre-selects: ties go by id, of copies
+    the smallest ids stay, vectors that are not finite are no hits."""
+    from quarry.operators.knn import topk_block
+    r = np.random.default_rng(1)
+    for scale, dtype in ((1.0, np.float32), (1e-20, np.float64), (1e20, np.float64)):
+        x = r.normal(size=(6000, 5))
+        x[:2500] = x[0]
+        x[3000:3500] = np.round(x[3000:3500])
+        x = (x * scale).astype(dtype)
+        q, ids = np.concatenate([x[2400:2600], x[3000:3100]]).astype(float), r.permutation(6000)
+        ks = r.integers(1, 6, len(q)).astype(np.int32)
+        broken = x.copy()
+        broken[5999] = np.nan
+        got = topk_block(np.arange(len(q)), q, ks, ids, broken)
+        d2 = ((q[:, None] - x[None, :5999].astype(float)) ** 2).sum(-1)
+        want = [(i, ids[j]) for i in range(len(q)) for j in np.lexsort((ids[:5999], d2[i]))[:ks[i]]]
+        assert list(zip(got.qid, got.cid)) == want
