@@ -337,7 +337,9 @@ def _index_broadcast(spark, q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype):
                 r["rank"] = (r.groupby("qid", sort=False).cumcount() + 1).astype(np.int32)
                 yield r.drop(columns="_k").rename(columns={"qid": q_id, "cid": c_id})
 
-    out = spread(q).mapInPandas(run, schema)
+    if spread(q) is not q:  # few partitions; rows of a question stay together
+        q = q.repartition(spark.sparkContext.defaultParallelism, q_id)
+    out = q.mapInPandas(run, schema)
     return out.select(q_id, "rank", c_id, "d2")
 
 
@@ -368,7 +370,8 @@ def _query_broadcast(spark, q, c, q_id, q_vec, c_id, c_vec, on, qtype, ctype, on
             # running top-k of this task: at most (questions x k) rows leave it
             yield _merge_topk(frames, once).rename(columns={"qid": q_id, "cid": c_id})
 
-    return spread(c).mapInPandas(run, _pairs_schema(q_id, c_id, qtype, ctype))
+    # with ``once`` the rows of an id stay where they are
+    return (c if once else spread(c)).mapInPandas(run, _pairs_schema(q_id, c_id, qtype, ctype))
 
 
 def _float_type(df: DataFrame, vec: str):

@@ -185,3 +185,11 @@ def test_topk_block_ties_copies_and_odd_values():
         d2 = ((q[:, None] - x[None, :5999].astype(float)) ** 2).sum(-1)
         want = [(i, ids[j]) for i in range(len(q)) for j in np.lexsort((ids[:5999], d2[i]))[:ks[i]]]
         assert list(zip(got.qid, got.cid)) == want
+
+
+def test_repeated_question_ids_stay_together(spark):
+    """Spreading the questions over all slots leaves the rows of an id in one task."""
+    c = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(i % 20, [float(i % 20), 1.0]) for i in range(40)], "qid long, q_vec array<double>").coalesce(1)
+    got = knn_join(q, c, 2, c_id="vec_id", strategy="index_broadcast").groupBy("qid").agg(F.array_sort(F.collect_list("rank")).alias("r")).collect()
+    assert len(got) == 20 and all(r.r == [1, 2, 3, 4] for r in got)
