@@ -32,8 +32,8 @@ give one window), put in one global order, that of the hashes.
 
 Scale.  Short heads (a quarter of the items) are shuffled as numbers, texts are
 read twice; full sets move for pairs that the bitmaps leave.  A list is cut by its nodes
-into blocks of about ``LIST`` entries, and a node's lists are merged block by
-block, so a list of a third of all rows is in no one place.  Texts that are near
+into blocks of about ``LIST`` entries, two of which meet in a task, and a node's lists
+are merged block by block, so a list of a third of all rows is in no one place.  Texts that are near
 to, but not within, the threshold of many others still cost a merge each.
 
 Defined cases: null, empty and wordless texts have an empty set and link with
@@ -56,6 +56,7 @@ SURVEY, SEARCH = 20, 5  # heads are longer by n div this than one common item ne
 LIST = 1024
 MU = 0.1  # weight of a probe in the rule for the long lists
 BITS, SHORT_BITS = 1024, 512  # of the bitmaps
+PAIRS = 1 << 17  # compared at once
 
 
 def least_overlap(n, percent: int):
@@ -108,6 +109,60 @@ def _full(k: int, percent: int):
     return fn
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _met(rows: pa.Table, percent: int):
+    """q, blk, t, held of whole cells of ``_meet``: the nodes of other labels that
+    asked nodes can be linked to, by the bitmaps, a block of nodes for each row."""
+    col = lambda c: rows.column(c).to_numpy()
+    item, lo, hi, part, node, n, label, t, blk = map(col, ("item", "lo", "hi", "part", "node", "n", "label", "t", "blk"))
+    mark = rows.column("mark").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+    ends = lambda starts: np.repeat(np.append(starts[1:], len(node)), np.diff(np.append(starts, len(node))))
+    cell = _starts(item, lo, hi)
+    of = np.repeat(cell, np.diff(np.append(cell, len(node))))
+    after = ends(_starts(item, lo, hi, label))  # the classes behind a row's own
+    count = ends(cell) - after
+    total = np.append(0, np.cumsum(count))
+    for at in range(0, total[-1], PAIRS):
+        pair = np.arange(at, min(at + PAIRS, total[-1]))
+        x = np.searchsorted(total, pair, side="right") - 1
+        y = after[x] + pair - total[x]
+        q, o = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+        ok = (t[q] > 0) & ((part[q] != part[o]) | (lo[q] == hi[q])) & (n[o] * 100 >= n[q] * percent) & (n[q] * 100 >= n[o] * percent)
+        q, o = q[ok], o[ok]
+        most = (n[q] + n[o] - np.bitwise_count(mark[q] ^ mark[o]).sum(axis=1, dtype=np.int64)) // 2
+        ok = 100 * most >= percent * (n[q] + n[o] - most)
+        q, o = q[ok], o[ok]
+        if len(q):
+            order = np.lexsort((node[o], blk[o], node[q], of[q]))
+            q, o = q[order], o[order]
+            first = _starts(of[q], node[q], blk[o])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(q)), pa.int32()), pa.array(node[o]))
+            yield pa.RecordBatch.from_arrays([pa.array(node[q[first]]), pa.array(blk[o[first]]), pa.array(t[q[first]]), lists], names=["q", "blk", "t", "held"])
+
+
+def _meet(percent: int):
+    """Rows sorted by cell (item, lo, hi) and label, taken as they come, cells whole."""
+    def fn(batches):
+        rest = None
+        for b in batches:
+            rows = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b]).combine_chunks()
+            last = _starts(*(rows.column(c).to_numpy() for c in ("item", "lo", "hi")))[-1] if rows.num_rows else 0
+            rest = rows.slice(last)
+            if last:
+                yield from _met(rows.slice(0, last), percent)
+        if rest is not None and rest.num_rows:
+            yield from _met(rest, percent)
+    return fn
+
+
 def merge_skip(lists: list[list[int]], t: int) -> list[tuple[int, int]]:
     """(value, occurrences) of the values that at least t of the sorted lists hold."""
     out, at = [], [0] * len(lists)
@@ -196,25 +251,24 @@ def search(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     longest = lists.agg(F.max("len")).first()[0]
     if not longest:
         return posts.sparkSession.createDataFrame([], "a long, b long, shared long")
-    blocks = -(-longest // LIST)
-    blk = F.pmod(F.xxhash64("node"), F.lit(blocks))
-    marked = posts.join(sized(sets.select("node", "mark"), 120), "node")
-    # a list's members by label, so that a node passes over its own class at once
-    entries = (marked.groupBy("item", blk.alias("blk"), "label").agg(F.array_sort(F.collect_list(F.struct("node", "n", "mark"))).alias("held"))
-               .groupBy("item", "blk").agg(F.collect_list(F.struct("label", "held")).alias("classes")))
+    blocks = 1 << (-(-longest // LIST) - 1).bit_length()
     # divide: a node's lists by length (a set's own items, so a bounded window)
     own = Window.partitionBy("node")
     t = _needed(F.col("n"), percent, SEARCH)
     aside = F.least(t - 1, F.floor(t / (MU * F.log2(F.max("len").over(own)) + 1)))
-    asked = (marked.join(lists, "item")
-             .select("item", "node", "n", "label", "mark", (t - aside).cast("int").alias("t"), aside.alias("aside"),
-                     F.row_number().over(own.orderBy(F.desc("len"), "item")).alias("rank"))
-             .where("rank > aside").select("item", F.col("node").alias("q"), F.col("n").alias("nq"), F.col("label").alias("lq"), F.col("mark").alias("mq"), "t"))
-    fits = lambda x: ((x["node"] > F.col("q")) & (x["n"] * 100 >= F.col("nq") * percent)
-                      & (F.col("nq") * 100 >= x["n"] * percent) & _room(F.col("nq"), x["n"], F.col("mq"), x["mark"], SHORT_BITS, percent))
-    others = F.filter("classes", lambda c: c["label"] != F.col("lq"))
-    held = F.array_sort(F.flatten(F.transform(others, lambda c: F.transform(F.filter(c["held"], fits), lambda x: x["node"]))))
-    met = asked.join(entries, "item").select("q", "blk", "t", held.alias("held")).where(F.size("held") > 0)
+    ranked = (posts.join(lists, "item")
+              .select("item", "node", "n", "label", "len", (t - aside).cast("int").alias("t"), aside.alias("aside"),
+                      F.row_number().over(own.orderBy(F.desc("len"), "item")).alias("rank")))
+    # a list of several blocks is met two blocks at a time
+    parts = F.when(F.col("len") > LIST, F.pow(F.lit(2.0), F.ceil(F.log2(F.col("len") / LIST)))).otherwise(1).cast("int")
+    spot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    asked = (ranked.select("item", "node", "n", "label", F.when(F.col("rank") > F.col("aside"), F.col("t")).otherwise(0).alias("t"),
+                           parts.alias("parts"), spot(parts).alias("part"), spot(F.lit(blocks)).alias("blk"))
+             .join(sized(sets.select("node", "mark"), 120), "node"))
+    cells = (asked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("item", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"), "part", "node", "n", "label", "t", "blk", "mark")
+             .repartition("item", "lo", "hi").sortWithinPartitions("item", "lo", "hi", "label"))
+    met = cells.mapInArrow(_meet(percent), "q long, blk int, t int, held array<long>")
     # one node's lists within one block of nodes
     gathered = (met.groupBy("q", "blk").agg(F.first("t").alias("t"), F.collect_list("held").alias("lists"))
                 .where(F.size("lists") >= F.col("t")).select(F.col("q").alias("node"), "t", "lists"))

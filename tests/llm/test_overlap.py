@@ -155,3 +155,30 @@ def test_blocks_of_lists_change_nothing(table, monkeypatch):
     monkeypatch.setattr(O, "LIST", 3)
     got = O.overlap_groups(table([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == _components(len(texts), links)
+
+
+def test_lists_meet_like_a_plain_loop(monkeypatch):
+    """Cells over several batches and slices of pairs; every pair of two labels once."""
+    import pyarrow as pa
+    monkeypatch.setattr(O, "PAIRS", 50)
+    r = np.random.RandomState(5)
+    rows, want = [], set()
+    for item in range(12):
+        blocks = 4 if item % 3 == 0 else 1
+        own = [(int(x), int(r.randint(8, 13)), int(r.randint(0, 4)), int(r.randint(0, 3)), r.randint(0, 2, 8)) for x in r.choice(500, 30, replace=False)]
+        for node, n, label, t, mark in own:
+            for other in range(blocks):
+                b = node % blocks
+                rows.append((item, min(b, other), max(b, other), b, node, n, label, t, node % 8, mark))
+        for q, nq, lq, t, mq in own:
+            for o, no, lo, _, mo in own:
+                most = (nq + no - sum(int(x ^ y).bit_count() for x, y in zip(mq, mo))) // 2
+                if t and lq != lo and o > q and min(nq, no) * 100 >= max(nq, no) * 80 and 100 * most >= 80 * (nq + no - most):
+                    want.add((item, q, o % 8, t, o))
+    rows.sort(key=lambda x: (x[0], x[1], x[2], x[6]))
+    names = ["item", "lo", "hi", "part", "node", "n", "label", "t", "blk", "mark"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    whole = pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=names)
+    got = [(q, blk, t, o) for b in O._meet(80)([whole.slice(i, 37) for i in range(0, len(rows), 37)])
+           for q, blk, t, held in zip(*(b.column(c).to_pylist() for c in ("q", "blk", "t", "held"))) for o in held]
+    assert want and sorted(got) == sorted(x[1:] for x in want)
